@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termloom.llm import bpe, warc
+from termloom.llm import bpe, mixing, warc
 from termloom.llm.common import table
 
 
@@ -18,9 +19,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op7_byte_bpe)}
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_transactions, op7_byte_bpe, op9_pareto_mix)}
 
 SQL = {
+    "op9_pareto_mix": mixing.SQL,
     "op2_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
