@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, mixing, rules, secrets, simhash, warc
+from termloom.llm import bpe, jaccard, mixing, rules, secrets, simhash, warc
 from termloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op4_simhash, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op2_warc_transactions, op3_jaccard_join, op4_simhash, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix)}
 
 SQL = {
     "op9_pareto_mix": mixing.SQL,
