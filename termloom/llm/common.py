@@ -67,3 +67,18 @@ def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield start, column.slice(start, stop - start)
         start, base = stop, int(ends[stop - 1])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels to fit a classifier on: at most `rows` labelled documents of at most max_chars characters.
+
+    Only labels outside the fold held_out() are seen; null labels and texts are passed over; of several labels of a
+    doc_id the smallest counts. The first in the order of a hash of doc_id are taken, so reruns agree.
+    """
+    order = F.xxhash64("doc_id")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    known = known.select("doc_id", "label", order.alias("place")).orderBy("place", "doc_id").limit(2 * rows)
+    # at most 2 * rows rows of three numbers
+    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(known), "doc_id")
+    got = found.orderBy("place", "doc_id", "text").limit(rows).select("text", "label").toArrow()
+    return got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64)

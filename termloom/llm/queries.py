@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, jaccard, mixing, rules, secrets, simhash, warc
+from termloom.llm import bpe, jaccard, mixing, quality, rules, secrets, simhash, warc
 from termloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op3_jaccard_join, op4_simhash, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op2_warc_transactions, op3_jaccard_join, op4_simhash, op5_quality_classifier, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix)}
 
 SQL = {
     "op9_pareto_mix": mixing.SQL,
