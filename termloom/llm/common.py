@@ -69,16 +69,19 @@ def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa
         start, base = stop, int(ends[stop - 1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels to fit a classifier on: at most `rows` labelled documents of at most max_chars characters.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> tuple[list[str], np.ndarray, float]:
+    """Texts and 0/1 labels to fit a classifier on, and the share of label 1 (smoothed) among all labels seen.
 
-    Only labels outside the fold held_out() are seen; null labels and texts are passed over; of several labels of a
-    doc_id the smallest counts. The first in the order of a hash of doc_id are taken, so reruns agree.
+    At most rows / 2 labelled documents of either class, of at most max_chars characters each. Only labels outside the
+    fold held_out() are seen; null labels and texts are passed over; of several labels of a doc_id the smallest
+    counts. The first in the order of a hash of doc_id are taken, so reruns agree.
     """
-    order = F.xxhash64("doc_id")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    known = known.select("doc_id", "label", order.alias("place")).orderBy("place", "doc_id").limit(2 * rows)
+    known = known.withColumn("place", F.xxhash64("doc_id"))
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = known.where("label = 0").orderBy("place", "doc_id").limit(rows).unionByName(known.where("label = 1").orderBy("place", "doc_id").limit(rows))
     # at most 2 * rows rows of three numbers
-    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(known), "doc_id")
-    got = found.orderBy("place", "doc_id", "text").limit(rows).select("text", "label").toArrow()
-    return got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64)
+    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(some), "doc_id")
+    parts = [found.where(F.col("label") == c).orderBy("place", "doc_id", "text").limit(rows // 2).select("text", "label") for c in (0, 1)]
+    got = parts[0].unionByName(parts[1]).toArrow()
+    return got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64), (n.get(1, 0) + 1) / (sum(n.values()) + 2)

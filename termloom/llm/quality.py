@@ -63,12 +63,14 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def fit(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 400, batch: int = 48, rate: float = 0.5, seed: int = 7) -> Model:
-    """Stochastic gradient descent on the softmax's log loss, for a fixed number of steps. Without both classes: the prior alone."""
-    prior = (labels.sum() + 1) / (len(labels) + 2)
+def fit(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 400, batch: int = 48, rate: float = 0.5, seed: int = 7) -> Model:
+    """Stochastic gradient descent on the softmax's log loss, for a fixed number of steps.
+
+    prior is class 1's share of all labels; a sample with other shares is weighted to it. Without both classes: the prior alone."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
+    weigh = (np.array([1 - prior, prior]) / np.array([1 - labels.mean(), labels.mean()])).astype(np.float32)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for _, part in slices(pa.array(texts, pa.string())):
         doc, bucket, n = grams(part)
@@ -93,6 +95,7 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 400, ba
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(pick)), labels[pick].astype(int)] -= 1
+        p *= weigh[labels[pick].astype(int)][:, None]
         back = p @ out.T
         pull = share[:, None] * back[owner]
         unique, place = np.unique(ids, return_inverse=True)

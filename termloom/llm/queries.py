@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, jaccard, mixing, quality, rules, secrets, simhash, warc
+from termloom.llm import bpe, jaccard, langid, mixing, quality, rules, secrets, simhash, toxicity, warc
 from termloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,11 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op3_jaccard_join, op4_simhash, op5_quality_classifier, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_transactions, op3_jaccard_join, op4_simhash, op5_quality_classifier, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix, op10_language_id)}
 
 SQL = {
     "op9_pareto_mix": mixing.SQL,
