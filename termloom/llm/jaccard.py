@@ -289,3 +289,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     empty = placed.where("component IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
     full = placed.where("component IS NOT NULL").join(smallest, "component").select(id_col, "n_shingles", "component_id")
     return full.unionByName(empty)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component of links: that of the smallest id. All columns stay.
+
+    Of rows that repeat the id kept, one stays. Rows without an id can't be named by one and stay as they are.
+    """
+    found = jaccard_components(docs, width, num, den, id_col, text_col)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

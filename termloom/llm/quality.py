@@ -131,3 +131,17 @@ def apply_model(docs: DataFrame, model, threshold: float) -> DataFrame:
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_below(docs: DataFrame, model, threshold: float) -> DataFrame:
+    """The rows of docs, whole, whose text scores below threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for start, texts in slices(batch.column(at), 1 << 18):
+                yield batch.slice(start, len(texts)).filter(pa.array(own.score(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

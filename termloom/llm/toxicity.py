@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from termloom.llm.bytesvec import Words
 from termloom.llm.common import labelled_sample, slices
-from termloom.llm.quality import apply_model
+from termloom.llm.quality import apply_model, keep_below
 
 WINDOW, STRIDE = 24, 12
 BUCKETS, DIM, HIDDEN = 1 << 16, 8, 8
@@ -221,3 +221,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     text. Null and blank texts get the prior's score. Rows stay one to one; other columns aren't read.
     """
     return apply_model(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars)), threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample_rows: int = ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns."""
+    return keep_below(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars)), threshold)
