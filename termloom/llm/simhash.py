@@ -16,8 +16,8 @@ from termloom.llm.common import WORD_GAP, let
 
 BITS = 128
 _LANES = 0x0001000100010001
-#: Terms of a chunk; with weights up to 7 their votes stay below 2**16.
-CHUNK = 8192
+#: Terms of a chunk; with weights up to 7 their votes stay below 2**15, so that the topmost lane never meets the sign.
+CHUNK = 4096
 
 
 def _terms(text: Column) -> Column:
