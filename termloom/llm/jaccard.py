@@ -6,10 +6,9 @@ group holds at most K2 = floor(k / n1) of the differences, so with N2 partitions
 of them agrees. Each choice is a signature: equal sets there give equal signatures. A set signs for
 its own band and for the next, which any partner's band is one of.
 
-Nodes are distinct sets (64-bit key), so copies cost nothing. Sets with a common signature are linked to one
-pivot by an exact check of the sets; where a signature's sets fall into several components, its pairs
-across components are checked as well, so no link between components is lost, and pairs within one
-component are never enumerated.
+Nodes are distinct sets (64-bit key), so copies cost nothing. Sets with a common signature are tied to one pivot; what
+such ties connect is a cluster, and a cluster's sets are compared block by block, exactly. A block pair returns
+a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -201,25 +200,88 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
     return docs.select(text_col).mapInArrow(run, "set_key bigint, elements binary")
 
 
-def _check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar: den * |a & b| >= num * |a | b|."""
-    sized = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("elements").alias("ea")), "a")
-    both = sized.join(sets.select(F.col("set_key").alias("b"), F.col("elements").alias("eb")), "b").select("a", "b", "ea", "eb")
+#: Elements of a block: of two blocks at most are the sets that one comparison holds.
+BLOCK = 1 << 20
+#: Columns of the 0/1 matrices that are multiplied at a time.
+COLUMNS = 4096
+
+
+def _links(keys: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect what is similar between the sets at `left` and at `right`: a forest, no more edges than sets."""
+    size = np.array([len(x) for x in parts])
+    if len(parts) == 2:
+        x, y = parts
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return [(int(keys[0]), int(keys[1]))] if den * common >= num * (size.sum() - common) else []
+    value, element, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(parts)), size)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(value), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[element]
+    top, parent, out = np.arange(len(parts)), {}, []
+
+    def find(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = i = parent.get(up, up)
+        return i
+
+    for begin in range(0, len(left), 512):
+        rows = left[begin : begin + 512]
+        common = np.zeros((len(rows), len(right)), np.float32)
+        for low in range(0, len(shared), COLUMNS):
+            here = (column >= low) & (column < low + COLUMNS)
+            dense = np.zeros((len(parts), min(COLUMNS, len(shared) - low)), np.float32)
+            dense[owner[here], column[here] - low] = 1
+            common += dense[rows] @ dense[right].T
+        union = size[rows][:, None] + size[right][None, :] - common
+        for i, j in zip(*np.nonzero(den * common.astype(np.float64) >= num * union.astype(np.float64))):
+            a, b = find(int(top[rows[i]])), find(int(top[right[j]]))
+            if a != b:
+                parent[b] = a
+                out.append((int(keys[rows[i]]), int(keys[right[j]])))
+    return out
+
+
+def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of sets(cluster, set_key, elements): a spanning forest of all similar pairs within clusters.
+
+    A cluster of more than BLOCK elements is cut into blocks by a hash of the key, and each pair of blocks is compared by
+    itself; so pairs are neither rows of a table nor held at once, and a group of any size is spread over tasks.
+    """
+    n = F.length("elements") / 8
+    totals = sets.groupBy("cluster").agg(F.sum(n).alias("total")).where(F.col("total") > BLOCK).select("cluster", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    cut = sets.join(totals, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "elements")
+    sorted_ = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_key")
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        own = np.array([r[3] for r in rows])
+        keys = np.array([r[4] for r in rows], np.int64)
+        everyone, i, j = np.arange(len(rows)), rows[0][1], rows[0][2]
+        left, right = (everyone, everyone) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        return _links(keys, [np.frombuffer(r[5], np.uint64) for r in rows], left, right, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if held and row[:3] != held[0][:3]:
+                    out += compare(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                out = []
+        if out := compare(held):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return sorted_.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,35 +317,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     rows = staged(_word_sets(docs, width, id_col, text_col), "sets")
     signed = _signed(docs, width, Bands(num, den), text_col)
     by_sig = Window.partitionBy("sig")
-    groups = signed.select("sig", "set_key", F.min("set_key").over(by_sig).alias("pivot"), F.max("set_key").over(by_sig).alias("top"), F.bit_xor(F.xxhash64("set_key")).over(by_sig).alias("members")).where("pivot <> top")
-    # signatures that the same sets share are one group (should two groups fall together, more pairs are checked)
-    groups = staged(groups.select("members", "pivot", "top", "set_key").distinct(), "groups")
-    group = ["members", "pivot", "top"]
-    wanted = groups.select("set_key").distinct()
-    sets = staged(_elements(docs, wanted, width, text_col).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
-
-    asked = staged(groups.where("set_key <> pivot").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    linked = staged(_check(asked, sets, num, den), "links")
-    comps = staged(components(linked), "components")
-    for pivot_of in ("top", None):
-        placed = groups.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-        split = placed.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select(*group)
-        rest = staged(placed.join(split, group, "left_semi").select(*group, "set_key", "component"), "split")
-        if pivot_of:
-            tops = rest.where("set_key = top").select(*group, F.col("component").alias("there"))
-            more = rest.join(tops, group).where("component <> there").select(F.col("set_key").alias("a"), F.col("top").alias("b"))
-        else:
-            other = rest.select(*group, F.col("set_key").alias("b"), F.col("component").alias("there"))
-            more = rest.withColumnRenamed("set_key", "a").join(other, group).where("component < there").select("a", "b")
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        more = staged(more, "pairs")
-        if more.isEmpty():
-            break
-        found = staged(_check(more, sets, num, den), "links")
-        if not found.isEmpty():
-            linked = linked.unionByName(found)
-            comps = staged(components(linked), "components")
-        asked = asked.unionByName(more)
+    stars = signed.select("set_key", F.min("set_key").over(by_sig).alias("pivot")).where("set_key <> pivot").distinct()
+    # sets that signatures connect are a cluster; links are within clusters
+    clusters = staged(components(stars.toDF("a", "b")).toDF("set_key", "cluster"), "clusters")
+    sets = _elements(docs, clusters.select("set_key"), width, text_col).join(clusters, "set_key").dropDuplicates(["set_key"])
+    comps = staged(components(_linked(sets, num, den)), "components")
     placed = rows.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min(id_col).alias("component_id"))
     empty = placed.where("component IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
