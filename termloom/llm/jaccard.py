@@ -6,9 +6,10 @@ group holds at most K2 = floor(k / n1) of the differences, so with N2 partitions
 of them agrees. Each choice is a signature: equal sets there give equal signatures. A set signs for
 its own band and for the next, which any partner's band is one of.
 
-Nodes are distinct sets (64-bit key), so copies cost nothing. Sets with a common signature are tied to one pivot; what
-such ties connect is a cluster, and a cluster's sets are compared block by block, exactly. A block pair returns
-a spanning forest of its links, never all pairs.
+Nodes are distinct sets (64-bit key), so copies cost nothing. Similar sets share not one signature but a known number
+at least, so pairs must share several; sets of signatures that very many share are tied to one pivot. What
+such pairs and ties connect is a cluster, and a cluster's sets are compared block by block, exactly. A block pair
+returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ class Bands:
         most = self.low_array[scheme + 1] - 1
         # |a ^ b| <= (a + b)(1 - t) / (1 + t), for integers
         k = 2 * most * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + k // 24
+        spare = 3 + k // 12
         return k // (K2 + 1) + 1 + spare
 
     def differ(self, scheme: np.ndarray) -> np.ndarray:
@@ -90,14 +91,19 @@ class Bands:
         return 2 * most * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set key) of all sets, for their own band and the next.
+#: A signature of more sets than this is hot; two sets that share this many signatures that aren't hot are candidates.
+HOT, COMMON = 16, 4
 
-    Choices without any element would be shared by many sets. At most k // (K2 + 1) groups hold more than K2
-    differences; so of n1 groups, at least n1 - k // (K2 + 1) have an agreeing choice. A set emits an empty choice
-    only if its groups with empty choices are that many or more: else an agreeing choice that isn't empty is left.
+
+def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set key, tag) of all sets, for their own band and the next.
+
+    Each of at most k differences spoils one partition, so similar sets agree in at least all - k partitions. Empty
+    partitions, which many sets share, aren't signed; a set then shares at least bound = all - k - (its empty
+    ones) signatures with any partner. Where that is below COMMON the set signs empty ones too. tag is twice the most hot
+    signatures that still leave COMMON others (bound - COMMON; 0 where empty ones are signed), plus the step.
     """
-    sigs, owners = [], []
+    sigs, owners, tags = [], [], []
     for step in (0, 1):
         scheme = bands.of(np.maximum(count, 1)) + step
         n1 = np.where(count > 0, bands.groups(scheme), 0)
@@ -106,9 +112,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.n
         if not cells:
             continue
         s = mix(value + scheme[doc].astype(np.uint64) * _COEF[2])
-        parts = (n1 * N2)[doc].astype(np.uint64)
-        # the part by the upper half of the mixed value, so that its lower half stays free
-        part = ((s >> np.uint64(32)) * parts) >> np.uint64(32)
+        # the part by the upper half of the mixed value
+        part = ((s >> np.uint64(32)) * (n1 * N2)[doc].astype(np.uint64)) >> np.uint64(32)
         cell = base[doc] + part.astype(np.int64)
         total = np.zeros(cells, np.uint64)
         np.add.at(total, cell, mix(s + _COEF[3]))
@@ -116,15 +121,16 @@ def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.n
         owner = np.repeat(np.arange(len(count)), n1 * N2)
         local = np.arange(cells) - base[owner]
         sig = mix(total + mix(local.astype(np.uint64) * _COEF[0] + scheme[owner].astype(np.uint64) * _COEF[1]))
-        empty_groups = np.bincount(owner[np.arange(0, cells, N2)], weights=(~(filled[0::N2] & filled[1::N2])).astype(float), minlength=len(count))
-        agreeing = n1 - bands.differ(scheme) // (K2 + 1)
-        emit_all = empty_groups >= agreeing
-        take = filled | emit_all[owner]
+        bound = n1 * N2 - bands.differ(scheme) - np.bincount(owner[~filled], minlength=len(count))
+        all_signed = bound < COMMON
+        tag = np.where(all_signed, 0, bound - COMMON) * 2 + step
+        take = filled | all_signed[owner]
         sigs.append(sig[take])
         owners.append(keys[owner[take]])
+        tags.append(tag[owner[take]])
     if not sigs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(sigs).view(np.int64), np.concatenate(owners)
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(sigs).view(np.int64), np.concatenate(owners), np.concatenate(tags).astype(np.int64)
 
 
 def _word_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -142,7 +148,7 @@ def _word_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 
 
 def _signed(docs: DataFrame, width: int, bands: Bands, text_col: str) -> DataFrame:
-    """(sig, set_key) of the distinct sets; a task signs a set once, as far as it remembers."""
+    """(sig, set_key, tag) of the distinct sets; a task signs a set once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,11 +164,11 @@ def _signed(docs: DataFrame, width: int, bands: Bands, text_col: str) -> DataFra
                 if len(seen) > 1_000_000:
                     seen.clear()
                 keep = new[doc]
-                sig, owner = signatures(doc[keep], value[keep], np.where(new, count, 0), keys, bands)
+                sig, owner, tag = signatures(doc[keep], value[keep], np.where(new, count, 0), keys, bands)
                 if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], ["sig", "set_key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner), pa.array(tag.astype(np.int32))], ["sig", "set_key", "tag"])
 
-    return docs.select(text_col).mapInArrow(run, "sig bigint, set_key bigint")
+    return docs.select(text_col).mapInArrow(run, "sig bigint, set_key bigint, tag int")
 
 
 #: Bits of the filter that tells which sets take part in a check. A fuller one lets more pass, none is lost.
@@ -201,45 +207,42 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
 
 
 #: Elements of a block: of two blocks at most are the sets that one comparison holds.
-BLOCK = 1 << 20
-#: Columns of the 0/1 matrices that are multiplied at a time.
-COLUMNS = 4096
+BLOCK = 1 << 21
 
 
 def _links(keys: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that connect what is similar between the sets at `left` and at `right`: a forest, no more edges than sets."""
+    """Edges that connect what is similar between the sets at `left` and at `right`: a forest, no more edges than sets.
+
+    Elements are ranked by rising frequency; similar sets share one of their first size - ceil(size num / den) + 1, so
+    only those are indexed. Pairs that are connected already aren't compared.
+    """
     size = np.array([len(x) for x in parts])
-    if len(parts) == 2:
-        x, y = parts
-        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        return [(int(keys[0]), int(keys[1]))] if den * common >= num * (size.sum() - common) else []
-    value, element, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(parts)), size)
-    shared = np.flatnonzero(times > 1)
-    column = np.full(len(value), -1)
-    column[shared] = np.arange(len(shared))
-    column = column[element]
-    top, parent, out = np.arange(len(parts)), {}, []
-
-    def find(i: int) -> int:
-        while (up := parent.get(i, i)) != i:
-            parent[i] = i = parent.get(up, up)
-        return i
-
-    for begin in range(0, len(left), 512):
-        rows = left[begin : begin + 512]
-        common = np.zeros((len(rows), len(right)), np.float32)
-        for low in range(0, len(shared), COLUMNS):
-            here = (column >= low) & (column < low + COLUMNS)
-            dense = np.zeros((len(parts), min(COLUMNS, len(shared) - low)), np.float32)
-            dense[owner[here], column[here] - low] = 1
-            common += dense[rows] @ dense[right].T
-        union = size[rows][:, None] + size[right][None, :] - common
-        for i, j in zip(*np.nonzero(den * common.astype(np.float64) >= num * union.astype(np.float64))):
-            a, b = find(int(top[rows[i]])), find(int(top[right[j]]))
-            if a != b:
-                parent[b] = a
-                out.append((int(keys[rows[i]]), int(keys[right[j]])))
+    _, element, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    times = np.sort(times, kind="stable")
+    sets = [np.sort(x) for x in np.split(rank[element], np.cumsum(size)[:-1])]
+    firsts = [x[: len(x) - -(-num * len(x) // den) + 1] for x in sets]
+    firsts = [x[times[x] > 1] for x in firsts]
+    place, owner = np.concatenate([firsts[j] for j in right]), np.repeat(right, [len(firsts[j]) for j in right])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    root, out, same = np.arange(len(parts)), [], left is right
+    for i in left.tolist():
+        begin, end = np.searchsorted(place, firsts[i]), np.searchsorted(place, firsts[i], "right")
+        if not (end > begin).any():
+            continue
+        near = np.unique(np.concatenate([owner[a:b] for a, b in zip(begin, end)]))
+        near = near[(den * np.minimum(size[near], size[i]) >= num * np.maximum(size[near], size[i])) & (near != i)]
+        near = near[near < i] if same else near
+        while len(near := near[root[near] != root[i]]):
+            j = int(near[0])
+            near = near[1:]
+            x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if den * common >= num * (size[i] + size[j] - common):
+                root[root == root[j]] = root[i]
+                out.append((int(keys[i]), int(keys[j])))
     return out
 
 
@@ -316,10 +319,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     """
     rows = staged(_word_sets(docs, width, id_col, text_col), "sets")
     signed = _signed(docs, width, Bands(num, den), text_col)
-    by_sig = Window.partitionBy("sig")
-    stars = signed.select("set_key", F.min("set_key").over(by_sig).alias("pivot")).where("set_key <> pivot").distinct()
-    # sets that signatures connect are a cluster; links are within clusters
-    clusters = staged(components(stars.toDF("a", "b")).toDF("set_key", "cluster"), "clusters")
+    shared = staged(signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1"), "shared")
+    # where a signature isn't hot its sets are few: pairs of them are counted
+    few = shared.where(F.col("n") <= HOT).groupBy("sig").agg(F.array_sort(F.collect_set("set_key")).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, HOT), lambda y: F.struct(y.alias("a"), x.alias("b")))))
+    often = few.where(F.size("ks") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("a", "b")
+    # a set with too many hot signatures may share too few others with a partner, which then has too many as well
+    hot = shared.where(F.col("n") > HOT)
+    full = hot.groupBy("set_key", "tag").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > F.shiftright("tag", 1)).select("set_key").distinct()
+    tied = hot.join(full, "set_key", "left_semi").select("sig", "set_key")
+    stars = tied.join(tied.groupBy("sig").agg(F.min("set_key").alias("pivot")), "sig").where("set_key <> pivot").select("set_key", "pivot").distinct()
+    stars = often.unionByName(stars.toDF("a", "b"))
+    # what these connect are clusters; links are within them
+    clusters = staged(components(stars).toDF("set_key", "cluster"), "clusters")
     sets = _elements(docs, clusters.select("set_key"), width, text_col).join(clusters, "set_key").dropDuplicates(["set_key"])
     comps = staged(components(_linked(sets, num, den)), "components")
     placed = rows.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
