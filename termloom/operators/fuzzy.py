@@ -77,13 +77,16 @@ def _deletes(key: Column, distance: int, prefix: int) -> Column:
 def edit_join(texts: DataFrame, keys: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """(text, key, distance) of all texts(text) and keys(key) within max_edit_distance.
 
-    Both sides are joined on what their prefixes leave after deletions, then pairs of near lengths are verified. Only
-    distinct texts are compared.
+    Both sides are joined on their length and what their prefixes leave after deletions; keys, the smaller side, take
+    every length that is near theirs. Texts of lengths that no key is near to, most of them, go first. Only distinct
+    texts are compared.
     """
     d = cfg.max_edit_distance
-    left = texts.select("text").distinct().withColumn("tkey", t.dictionary_key(F.col("text"))).withColumn("block", F.explode(_deletes(F.col("tkey"), d, cfg.prefix_length)))
-    right = keys.select("key").distinct().withColumn("block", F.explode(_deletes(F.col("key"), d, cfg.prefix_length)))
-    near = left.join(right, "block").where(F.abs(F.length("tkey") - F.length("key")) <= d).select("text", "tkey", "key").distinct()
+    right = keys.select("key").distinct().withColumn("size", F.explode(F.sequence(F.greatest(F.length("key") - d, F.lit(0)), F.length("key") + d)))
+    left = texts.select("text").distinct().withColumn("tkey", t.dictionary_key(F.col("text"))).withColumn("size", F.length("tkey"))
+    left = left.join(right.select("size").distinct(), "size", "left_semi").withColumn("block", F.explode(_deletes(F.col("tkey"), d, cfg.prefix_length)))
+    right = right.withColumn("block", F.explode(_deletes(F.col("key"), d, cfg.prefix_length)))
+    near = left.join(right, ["size", "block"]).select("text", "tkey", "key").distinct()
     # a swap of neighbours costs levenshtein two, so twice the distance bounds it: pairs beyond never reach Python
     near = near.where(F.levenshtein("tkey", "key", 2 * d) >= 0)
     return near.withColumn("distance", osa_distance("tkey", "key")).where(F.col("distance") <= d).select("text", "key", "distance")

@@ -480,7 +480,7 @@ KNN_SQL = """
 """
 
 
-@query(KNN_SQL + "SELECT query_id, vector_id, round(sim, 4) AS similarity, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 10")
+@query(KNN_SQL + "SELECT query_id, vector_id, round(CAST(sim AS DOUBLE), 4) AS similarity, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 10")
 def knn_cosine(spark, sf_dir):
     queries, index = even_index(spark, sf_dir)
     return vectors.nearest(queries, index).withColumn("similarity", F.round("similarity", 4))
