@@ -85,7 +85,7 @@ def text_likelihoods(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 doc, bucket, n = grams(texts)
                 count = np.maximum(np.bincount(doc, minlength=n), 1)
                 like = np.stack([np.bincount(doc, weights=row[bucket % BUCKETS], minlength=n) for row in table], 1)
-                like *= (np.minimum(count, INDEPENDENT) / count)[:, None]
+                like = like * (np.minimum(count, INDEPENDENT) / count)[:, None]
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), pa.array(list(like), pa.list_(pa.float64()))], [*kept, "like"])
 

@@ -1,0 +1,483 @@
+"""Operators of the training-data pipeline against plain brute force, on small tables with odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+from math import comb
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from termloom.llm import bpe, bytesvec, jaccard, langid, mixing, quality, queries, rules, secrets, simhash, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", "   \n\t", "a", "a b c", "x " * 3000, "déjà vu — 漢字 😀", "same text here again", "same text here again"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, x, None, None if k % 4 == 0 else f"s{k % 3}", None) for k, (i, x) in enumerate(zip(ids, texts))], DOCS)
+
+
+def random_texts(n, seed, words="ab cd ef gh the of AKIA x1 y2 zz".split()):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+# --- shared ----------------------------------------------------------------------------------------------
+
+
+def test_words_and_hashes():
+    texts = [None, "", " a  bc\n\x0bde ", "bc a", "é bc"]
+    w = bytesvec.Words(pa.array(texts, pa.string()))
+    assert w.count.tolist() == [0, 0, 3, 2, 2]
+    assert [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)] == [b"a", b"bc", b"de", b"bc", b"a", "é".encode(), b"bc"]
+    h = w.hash.tolist()
+    assert h[1] == h[3] == h[6] and h[0] == h[4] and len(set(h)) == 4
+    assert bytesvec.Words(pa.array(["zz Ab"]).slice(0, 1), lower=True).hash[1] == bytesvec.Words(pa.array(["ab"])).hash[0]
+
+
+# --- byte-level BPE --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def reference():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(reference):
+    path, enc = reference
+    codec = bpe.codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    bits = ["a", "th", "er", " ", "1", "é", "日本", "\n", "😀", "ing", "tion", "!!", "\x00", "<|endoftext|>", "'s"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(3000)] + ["a" * 4000, "ab" * 3000, "日" * 1500, " " * 999]
+    for x in texts:
+        ids = codec.encode(x)
+        assert ids == enc.encode_ordinary(x) and codec.decode(ids) == x.encode()
+
+
+def test_bpe_documents(spark, reference):
+    path, enc = reference
+    got = bpe.encode_documents(docs(spark, ODD, [1, 1, None, 3, 4, 5, 6, 7, 7]), path, public_tokenizers.PATTERN).collect()
+    expected = []
+    for i, x in zip([1, 1, None, 3, 4, 5, 6, 7, 7], ODD):
+        ids = enc.encode_ordinary(x or "")
+        expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest(), ids))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert bpe.encode_documents(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
+
+
+# --- WARC ------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    big = "<html>é\r\n\r\nWARC/1.0\r\n" + "x" * 120
+    pages = [(5, "http://a/", big), (2, "http://b/\r\n", big), (9, None, None), (7, "u", "short"), (8, "u", "short"), (3, "v", big + "y"), (None, "w", big)]
+    df = spark.createDataFrame([(a, b, c, "clash") for a, b, c in pages], "page_id long, url string, html string, digest string")
+    got = {r.page_id: tuple(r)[1:] for r in warc.round_trip(df).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[2] == (len(big.encode()), sha(big), "response", None) and got[5] == (len(big.encode()), sha(big), "revisit", 2) and got[None] == (len(big.encode()), sha(big), "revisit", 2)
+    assert got[9] == (0, sha(""), "response", None) and got[7][2] == got[8][2] == "response" and got[3][2] == "response" and len(got) == 7
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_records(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a/", "<p>é</p>")], "page_id long, url string, html string")
+    warc.write_captures(df, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"), payload=True)
+    assert sorted(r.record_type for r in records.collect()) == ["metadata", "request", "response"]
+    one = warc.assemble(records.unionAll(records)).collect()
+    assert len(one) == 1 and one[0].response.payload == "<p>é</p>" and one[0].request.target_uri == "http://a/" and one[0].metadata.page_id == "1"
+
+
+# --- Jaccard join ----------------------------------------------------------------------------------------
+
+
+def brute_components(texts, width, num, den):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for x in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", (x or "").translate(lower))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return sets, root
+
+
+@pytest.mark.parametrize("width,num", [(4, 85), (5, 80)])
+def test_jaccard_components(spark, width, num, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4000)  # several blocks
+    rng = random.Random(width)
+    word = lambda: rng.choice("Alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randint(0, 30))
+    texts = list(ODD)
+    for n in (8, 30, 120, 300):
+        base = [word() for _ in range(n)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 25))):
+                w[rng.randrange(n)] = word()
+            texts.append(" ".join(w))
+    passage = " ".join(word() for _ in range(40))
+    texts += [passage + " " + " ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(40)] + texts[20:30]
+    got = {r.doc_id: r for r in jaccard.jaccard_components(docs(spark, texts), width, num).collect()}
+    sets, root = brute_components(texts, width, num, 100)
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), r) for s, r in zip(sets, root)]
+
+
+def test_signatures_hold_the_bound():
+    """Any two sets at the threshold share as many signatures as the tags promise."""
+    rng, bands = np.random.default_rng(4), jaccard.Bands(85, 100)
+    for n in (3, 7, 20, 60, 200, 700):
+        for _ in range(20):
+            out = int(n * 0.15 / 1.85)
+            common = rng.integers(0, 2**64, n, dtype=np.uint64)
+            a, b = common, np.concatenate([common[out:], rng.integers(0, 2**64, out, dtype=np.uint64)])
+            if 100 * (n - out) < 85 * (n + out):
+                continue
+            found = []
+            for s in (a, b):
+                sig, _, tag = jaccard.signatures(np.zeros(len(s), np.int64), np.sort(s), np.array([len(s)]), np.array([1]), bands)
+                found.append((set(sig.tolist()), tag.max() // 2))
+            assert len(found[0][0] & found[1][0]) >= max(jaccard.COMMON, min(f[1] for f in found))
+
+
+def test_jaccard_ids_and_stage(spark):
+    texts, ids = ["a b c d e f"] * 3 + ["q r s t u v w"] * 2 + [None, ""], [7, None, 3, 5, 5, 9, None]
+    got = jaccard.jaccard_components(docs(spark, texts, ids)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(7, 3), (None, 3), (3, 3), (5, 5), (5, 5), (9, 9), (None, None)], key=repr)
+    kept = jaccard.drop_near_copies(docs(spark, texts, ids))
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 5, 9, None, None], key=repr) and kept.columns == DOCS.replace("string", "").replace("long", "").replace(" ", "").split(",")
+    assert jaccard.jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_components(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
+    assert {(r.node, r.component) for r in jaccard.components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+# --- SimHash ---------------------------------------------------------------------------------------------
+
+
+def test_simhash_compare(spark):
+    ids = [40, 7, 7, None, 90000000000, 3, 12, 1, 2]
+    got = simhash.compare(docs(spark, ODD, ids)).collect()
+    order = sorted(((2**63 - 1 if i is None else i), x or "", i) for i, x in zip(ids, ODD))
+    expected = []
+    for k, (_, x, i) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(x) // 2
+        expected.append((i, len(x), hashlib.sha256((x[: len(x) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(expected, key=repr)
+    same = [r.fingerprint for r in got if r.doc_id in (1, 2)]
+    assert same[0] == same[1] and all(0 <= r.near_edited <= 1 and len(r.fingerprint) == 32 for r in got)
+    assert simhash.compare(docs(spark, [])).count() == 0
+    assert [r.near_next for r in simhash.compare(docs(spark, ["one only"])).collect()] == [1.0]
+
+
+def test_simhash_votes(spark):
+    """The packed votes against a plain count over the same term hashes."""
+    texts = random_texts(20, 3) + ["w " * 9000, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r.fp for r in simhash.fingerprints(df, ["k"], "t").collect()}
+    terms = df.select("k", F.explode(simhash._terms(F.col("t"))).alias("x")).select("k", F.xxhash64(F.lit(0), "x.w", "x.v").alias("a"), F.xxhash64(F.lit(1), "x.w", "x.v").alias("b"), (F.length("x.w") + F.coalesce(F.length("x.v"), F.lit(0))).alias("n"))
+    votes = {}
+    for r in terms.collect():
+        w = min(7, 1 + (r.n >> 1))
+        v = votes.setdefault(r.k, [np.zeros(64, int), np.zeros(64, int), 0])
+        for h, x in enumerate((r.a, r.b)):
+            v[h] += w * np.array([(x >> i) & 1 for i in range(64)])
+        v[2] += w
+    for k, (a, b, total) in votes.items():
+        for half, c in enumerate((a, b)):
+            value = sum(1 << i for i in range(64) if 2 * c[i] > total)
+            assert got[k][half] & (2**64 - 1) == value
+
+
+@pytest.mark.parametrize("radius,spare", [(3, 1), (6, 2)])
+def test_hamming_search(spark, radius, spare):
+    rng = random.Random(radius)
+    base = [[rng.getrandbits(64) for _ in range(2)] for _ in range(8)]
+    fps = []
+    for b in base:
+        for _ in range(12):
+            x = list(b)
+            for _ in range(rng.randint(0, 9)):
+                x[rng.randrange(2)] ^= 1 << rng.randrange(64)
+            fps.append([v - 2**64 if v >= 2**63 else v for v in x])
+    fps.append(fps[0])
+    rows = spark.createDataFrame(list(enumerate(fps)) + [(999, None)], "id long, fp array<long>")
+    got = {(r.query_id, r.id): r.distance for r in simhash.search(rows.where("id % 5 = 0").withColumnRenamed("id", "query_id"), rows, radius, spare).collect()}
+    dist = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    assert got == {(i, j): d for i in range(0, len(fps), 5) for j in range(len(fps)) if (d := dist(fps[i], fps[j])) <= radius}
+
+
+# --- secrets ---------------------------------------------------------------------------------------------
+
+
+def test_secret_spans(spark):
+    rng = random.Random(8)
+    bits = ["token = ", "secret:", "API-KEY", "api_key=\"", "Zx9-abcdefgh", "AKIA", "AKIAABCDEFGHIJKL", "deadbeef" * 4, "0123", " ", "é", "\n", "password", "'", "https://x.io/y ", "user: bobby ", "wJalrXUtnFEMI7MDENGbPx1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(200)] + ODD
+    got = {r.doc_id: r for r in secrets.digest(docs(spark, texts)).collect()}
+    assign = re.compile(secrets.BASE[0][1].replace("(?i)", ""), re.I | re.A)
+    for i, x in enumerate(texts):
+        x = x or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32]
+        text = ",".join(f"{secrets.BASE[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest(), x
+        assert set(filter(None, text.split(","))) <= set(got[i].spans.split(","))
+        # weak parts: brute force over the same candidates
+        weak = [(m.start(), k, m.end()) for k, (_, p, _) in enumerate(secrets.WEAK, 3) for m in re.compile(p.replace("(?i)", ""), (re.I if "(?i)" in p else 0) | re.A).finditer(x)]
+        role = lambda s: secrets.PLAYS[secrets.KINDS[s[1]]]
+        near = lambda s, part: any(role(o) == part and o[0] < s[2] + secrets.SCOPE and s[0] < o[2] + secrets.SCOPE for o in spans + weak)
+        linked = [s for s in weak if {"secret": near(s, "id"), "id": near(s, "secret"), "endpoint": near(s, "id") and near(s, "secret")}[role(s)]]
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans + linked)), x
+
+
+def test_secret_scope_and_redaction(spark):
+    far = "user: bobby " + "x " * 400 + "token: abcdefgh12"
+    near = "user: bobby " + "x " * 20 + "token: abcdefgh12"
+    got = {r.doc_id: r.spans for r in secrets.digest(docs(spark, [far, near])).collect()}
+    assert "weak_id" not in got[0] and "weak_id" in got[1]
+    out = {r.doc_id: r.text for r in secrets.redact(docs(spark, [near, None, "", "é token=deadbeefdeadbeefdeadbeefdeadbeef é"])).collect()}
+    assert out[0].startswith("[SECRET] x") and out[0].endswith("[SECRET]") and out[1] is None and out[2] == "" and out[3] == "é [SECRET] é"
+
+
+# --- quality rules ---------------------------------------------------------------------------------------
+
+
+def test_rule_features(spark):
+    rng = random.Random(4)
+    texts = random_texts(80, 6) + ["\n".join(rng.choice(["a b", "c", "", "  "]) for _ in range(9)) for _ in range(20)] + ["#*$%&|<>" * 3, "a b c a b c", "w " * 500] + ODD
+    got = {r.doc_id: r for r in rules.features(docs(spark, texts)).collect()}
+    for i, x in enumerate(texts):
+        x = x or ""
+        w = re.findall("[^\x20\x09-\x0d]+", x)
+        c = Counter(zip(w, w[1:], w[2:]))
+        mark = {k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [ln for ln in x.split("\n") if re.search("[^\x20\x09-\x0d]", ln)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in x), len(lines) - len(set(lines)), len(mark)), x[:80]
+        assert r.base_failed == (len(w) < 50 or 100 * len(mark) > 50 * len(w))
+
+
+def test_repeats_by_the_exact_path(spark, monkeypatch):
+    monkeypatch.setattr(rules, "_LOW", 7)  # positions of more words than this don't fit
+    texts = random_texts(30, 7, ["a", "b", "c"])
+    got = {r.doc_id: r.n_repeat_words for r in rules.features(docs(spark, texts)).collect()}
+    for i, x in enumerate(texts):
+        w = x.split()
+        c = Counter(zip(w, w[1:], w[2:]))
+        assert got[i] == len({k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)})
+
+
+def test_binomial_tail(spark):
+    cases = [(0, 10, 0.02), (1, 400, 0.02), (3, 900, 0.01), (50, 9000, 0.01), (9, 10, 0.5)]
+    for k, n, p in cases:
+        exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k < n * p else 1.0
+        got = spark.range(1).select(rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p).alias("x")).first().x
+        assert got == pytest.approx(exact, rel=1e-8)
+
+
+def test_cutoffs_keep_good_documents(spark):
+    rng = random.Random(1)
+    good = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(100)) for _ in range(1500)]
+    bad = [" ".join(f"w{rng.randint(0, 999)}###" for _ in range(100)) for _ in range(60)]
+    df = docs(spark, good + bad + ODD)
+    labels = spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good) + len(bad))] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in rules.verdicts(df, labels).collect()}
+    assert all(kept[i] for i in range(len(good))) and not any(kept[i] for i in range(len(good), len(good) + len(bad)))
+    # too few labels certify nothing: only the base rules reject
+    assert all(r.kept for r in rules.verdicts(docs(spark, bad), labels.limit(5)).collect())
+
+
+# --- mixing ----------------------------------------------------------------------------------------------
+
+
+def test_targets_against_plain_filling(spark):
+    rng = random.Random(2)
+    for _ in range(5):
+        sizes = {f"s{i}": rng.choice([0, 5, 100, 5000]) for i in range(rng.randint(1, 7))} | {None: 40}
+        order = sorted((s for s in sizes if s is not None)) + [None]
+        w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        left, open_, target = 1.5 * sum(sizes.values()), set(order), dict.fromkeys(order, 0.0)
+        while True:
+            total = sum(w[s] for s in open_)
+            for s in open_:
+                target[s] = left * w[s] / total
+            over = {s for s in open_ if target[s] > 2 * sizes[s]}
+            if not over:
+                break
+            for s in over:
+                target[s] = 2.0 * sizes[s]
+                left -= target[s]
+            open_ -= over
+            if not open_:
+                break
+        df = spark.createDataFrame([(str(s), s, v) for s, v in sizes.items()], "src string, source string, source_size long")
+        for r in mixing.source_targets(df, [3, 1, 2], 1.5, 2).collect():
+            assert r.target == pytest.approx(target[None if r.src == "None" else r.src], rel=1e-9, abs=1e-9)
+
+
+def test_mix(spark):
+    df = docs(spark, random_texts(400, 11) + ODD)
+    got = mixing.mix(df).collect()
+    assert len(got) == 400 + len(ODD)
+    by = {}
+    for r in got:
+        assert 0 <= r.mix_copies <= 2
+        t = by.setdefault(r.source, [0, r.mix_target, r.mix_source_size])
+        t[0] += r.mix_size * r.mix_copies
+    assert all(abs(taken - target) <= max(5, 0.01 * target) for taken, target, _ in by.values())
+    assert sum(t[1] for t in by.values()) == pytest.approx(1.5 * sum(t[2] for t in by.values()))
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
+# --- learned models --------------------------------------------------------------------------------------
+
+
+def made_up(n, mark, seed, share=0.0):
+    """Texts of invented words, a third of them with one marked word, or a share of their words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["an", "te", "ri", "so", "lu", "ke"]) for _ in range(rng.randint(1, 4)))
+    out = []
+    for i in range(n):
+        w = [word() for _ in range(rng.randint(20, 120))]
+        if i % 3 == 0:
+            for k in {rng.randrange(len(w)), *(k for k in range(len(w)) if rng.random() < share)}:
+                w[k] = mark + word()
+        out.append((" ".join(w), int(i % 3 == 0)))
+    return out
+
+
+def test_toxicity_network_gradients():
+    net = toxicity.Network(1)
+    x = toxicity.read(pa.array(["ab cd ef gh " * 8, "x y"]))
+    pull = np.random.default_rng(0).normal(size=len(x.window)).astype(np.float32)
+    out, saved = net.forward(x, x.window, True)
+    grad = net.backward(x, x.window, saved, pull)
+    for name in ("uf", "wb", "a", "o", "cf", "word", "gram"):
+        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
+        keep = net.p[name][at]
+        step = np.float32(1e-2)
+        net.p[name][at] = keep + step
+        up = float((net.forward(x, x.window) * pull).sum())
+        net.p[name][at] = keep - step
+        down = float((net.forward(x, x.window) * pull).sum())
+        net.p[name][at] = keep
+        assert (up - down) / (2 * step) == pytest.approx(float(grad[name][at]), rel=0.05, abs=1e-3), name
+
+
+def test_toxicity_learns_and_scores_all_windows():
+    data = made_up(1200, "grub", 1)
+    net = toxicity.fit([t for t, _ in data], np.array([float(y) for _, y in data]), 1 / 3, steps=500)
+    test = made_up(150, "grub", 2)
+    score = net.score(pa.array([t for t, _ in test]))
+    assert ((score >= 0.5) == np.array([y == 1 for _, y in test])).mean() > 0.95
+    # a mark anywhere in a long text is seen, and windows cover every word
+    clean = " ".join(t for t, y in test if not y)
+    assert net.score(pa.array([clean + " grubante " + clean]))[0] > 0.5
+    x = toxicity.read(pa.array([clean, "", "one"]))
+    assert (x.doc == 1).sum() == 0 and (x.doc == 2).sum() == 1
+    covered = {s * toxicity.STRIDE + k for s in range((x.doc == 0).sum()) for k in range(toxicity.WINDOW)}
+    assert covered >= set(range(len(clean.split())))
+
+
+def test_quality_learns():
+    data = made_up(300, "###", 3, 0.3)
+    labels = np.array([1.0 - y for _, y in data])
+    model = quality.fit([t for t, _ in data], labels, 2 / 3, steps=200)
+    test = made_up(150, "###", 4, 0.3)
+    score = model.score(pa.array([t for t, _ in test]))
+    assert ((score >= 0.5) == np.array([y == 0 for _, y in test])).mean() > 0.95
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op5_quality_classifier"])
+def test_scores_of_odd_rows(spark, name):
+    module, label = (toxicity, "toxic") if name.startswith("op1") else (quality, "quality")
+    df = docs(spark, ODD, [None, 1, 2, 3, 4, 5, 6, 7, 7])
+    for labels in (spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")):
+        got = module.score_documents(df, labels, label).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert module.score_documents(df.limit(0), labels, label).count() == 0
+
+
+# --- language --------------------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    labelled = spark.createDataFrame([("the cat and the dog is in the house", "en"), ("der hund und die katze ist in dem haus", "de"), (None, "en"), ("x", None)], "text string, lang string")
+    page = lambda lang, body: f'<!DOCTYPE html><html lang="{lang}"><script>der die das</script><body><!-- x --><p>{body}</p></body></html>'
+    pages = [(1, "https://a.example.org/x", page("en", "the dog is in the house &amp; the cat")), (2, "http://b.example.de", page("DE-at", "die katze und der hund ist in dem haus")), (3, None, None), (4, "http://b.example.de/2", ""), (None, "", "<p>the house"), (4, "http://b.example.de/2", "")]
+    got = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append(r)
+        assert 0 < r.posterior <= 1
+    assert len(got) == len(pages) and by[1][0].lang == "en" and by[2][0].lang == "de" and by[2][0].declared == "de" and by[None][0].lang == "en"
+    assert {r.lang for r in by[4]} == {"de"}  # no text: its host decides
+    none = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled.limit(0))
+    assert {r.lang for r in none.collect()} == {None}
+
+
+def test_language_by_brute_force(spark):
+    """Posteriors from plain loops over the same text likelihoods."""
+    labelled = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    rng = random.Random(1)
+    pages = [(i, f"http://h{i % 3}.d{i % 2}.{'de' if i % 4 else 'com'}/", f'<html lang="{rng.choice(["en", "de", ""])}">{rng.choice(["the dog", "der hund", "katze and"])}') for i in range(25)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(df, labelled).collect()}
+    langs, model = langid.text_model(labelled)
+    feats = df.select("page_id", langid.host_of(F.col("url")).alias("host"), langid.declared_language(F.col("html")).alias("declared"), langid.visible_text(F.col("html")).alias("text"))
+    ps = [(r.page_id, r.host, r.declared, np.array(r.like)) for r in langid.text_likelihoods(feats, model).collect()]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    own = {p[0]: soft(p[3]) for p in ps}
+    votes = lambda keep: sum((own[p[0]] for p in ps if keep(p)), np.zeros(2))
+    every = votes(lambda p: True)
+    for i, host, declared, like in ps:
+        less = lambda v: np.maximum(v - own[i], 0)
+        r = (less(every) + langid.EVIDENCE / 2) / (less(every).sum() + langid.EVIDENCE)
+        for cut in (-1, -2, 0):
+            key = lambda h: ".".join(h.split(".")[cut:]) if cut else h
+            m = less(votes(lambda p: key(p[1]) == key(host)))
+            r = (m + langid.PARENT * r) / (m.sum() + langid.PARENT)
+        logs = like + np.log(r) + np.log((votes(lambda p: p[1].split(".")[-1] == host.split(".")[-1]) + 1) / (every + 2))
+        if declared:
+            logs = logs + np.log((votes(lambda p: p[2] == declared) + 1) / (every + 2))
+        assert got[i].posterior == pytest.approx(soft(logs).max(), rel=1e-6) and got[i].lang == langs[int(soft(logs).argmax())]
+
+
+# --- queries and the pipeline ----------------------------------------------------------------------------
+
+
+def test_registered_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "secret_scan", "source_mix", "byte_bpe"]
+    df, names = spark.read.parquet(f"{SF}/documents.parquet"), None
+    names, before = df.columns, df
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        after = stage(spark, before, SF)
+        assert after.columns == names, name
+        before = corpus_pipeline.staged(after, name)
+    texts = [r.text for r in before.collect()]
+    assert not any(re.search("token = \"[0-9a-f]{40}", x) for x in texts)
