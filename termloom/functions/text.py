@@ -43,19 +43,25 @@ def fold_char(char: str, lowercase: bool = True, strip_accents: bool = True) ->
     return text.lower() if lowercase else text
 
 
+_OTHER = "[^\\x00-\\x7F]"
+
+
 @cache
-def _tables(lowercase: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters below U+2200 that fold to one other character, what to, and those that fold to none or several."""
-    single, to, several = [], [], []
-    for code in range(128, 0x2200):
+def _tables(lowercase: bool) -> tuple[str, str, str, str]:
+    """Characters of the basic plane that fold to one other, what to; those that fold to several, and to what (by U+001F)."""
+    single, to, several, parts = [], [], [], []
+    for code in range(128, 0x10000):
         c = chr(code)
+        if 0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn":
+            continue
         f = fold_char(c, lowercase)
         if len(f) == 1:
             single.append(c)
             to.append(f)
-        elif f and unicodedata.category(c)[0] in "LNPS":
-            several.append((c, f))
-    return "".join(single), "".join(to), tuple(several)
+        elif f:
+            several.append(c)
+            parts.append(f)
+    return "".join(single), "".join(to), "".join(several), "\x1f".join(parts)
 
 
 def fold(text: Column, cfg: NormalizerConfig = NormalizerConfig()) -> Column:
@@ -63,21 +69,21 @@ def fold(text: Column, cfg: NormalizerConfig = NormalizerConfig()) -> Column:
     if not cfg.strip_accents:
         t = F.translate(text, DASHES + APOSTROPHES, "-" * len(DASHES) + "'" * len(APOSTROPHES))
         return F.lower(t) if cfg.lowercase else t
-    single, to, several = _tables(cfg.lowercase)
-    t = F.translate(text, APOSTROPHES[4] + single, "'" + to)
-    common = [(c, f) for c, f in several if c in LATIN or c.lower() in LATIN]
-    for c, f in common:
-        t = F.replace(t, F.lit(c), F.lit(f))
-    # what is left of other scripts: rare expansions, one pass of a UDF over those texts alone
-    t = F.when(t.rlike("[^\\x00-\\x7F]"), _fold_rest(t)).otherwise(t)
+    # most texts are ASCII, for which nothing but the grave accent and case is left to do
+    single, to, several, parts = _tables(cfg.lowercase)
+
+    def expand(t: Column) -> Column:
+        """Characters that fold to several; what is left of other scripts goes."""
+        every = lambda x: F.regexp_extract_all(F.lit(x), F.lit("(?s)."), F.lit(0))
+        known = F.map_from_arrays(every(several), F.split(F.lit(parts), "\x1f", -1))
+        one = lambda c: F.when(c.rlike(_OTHER), F.coalesce(F.try_element_at(known, c), F.lit(""))).otherwise(c)
+        return F.when(t.rlike(_OTHER), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(t)
+
+    translated = F.element_at(F.transform(F.array(F.translate(text, single, to)), expand), 1)
+    t = F.replace(F.when(text.rlike(_OTHER), translated).otherwise(text), F.lit(APOSTROPHES[4]), F.lit("'"))
     return F.lower(t) if cfg.lowercase else t
 
 
-@F.pandas_udf(T.StringType())
-def _fold_rest(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else "".join(c if ord(c) < 128 else fold_char(c, False) for c in t))
-
-
 def _kept(cfg: NormalizerConfig) -> str:
     return "\\w\\s+\\-'." + "&" * cfg.keep_ampersand + "#" * cfg.keep_hash
 
