@@ -293,19 +293,21 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small star steps over staged edges until nothing moves; hubs are joined, never collected.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # a small job with a small plan tells whether the last step moved an edge
+        told = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
+        if told == state:
+            break
+        state = told
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        paired = large.join(low, "u")
-        small = paired.select("u", F.col("m").alias("v")).unionByName(paired.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(small, "edges")
-        moved = not (after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty())
+        paired = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        hops = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after = staged(paired.select(F.explode(hops).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
         unstage(now)
         now = after
-        if not moved:
-            break
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
