@@ -22,13 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key if it lies in fewer files than there are cores; large tables come in many files and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text"), "note_id")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tok, r): words of five letters or more in at least 2 % of the documents, by falling document frequency."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit("[a-z]{5,}"), F.lit(0)))).alias("tok"))
     common = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).where("50 * df >= n")
     # a document has only so many words, so at most fifty times that many are this common
