@@ -9,6 +9,7 @@ from termloom.config import AcceptanceConfig, FuzzyConfig
 from termloom.functions import text as t
 from termloom.functions.similarity import osa_distance, token_set_ratio, token_sort_ratio
 from termloom.operators.overlap import gaps
+from termloom.sources.staging import staged
 
 # Function words and filler of clinical notes.
 STOPWORDS = (
@@ -176,7 +177,8 @@ def as_matches(spans: DataFrame, decisions: DataFrame, method: str) -> DataFrame
 
 def layer(notes: DataFrame, protected: DataFrame, aliases: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """All strategies' matches on the same gaps, united. Texts are scored once each."""
-    spans = candidates(notes, protected, cfg)
+    # both strategies read the spans, twice each
+    spans = staged(candidates(notes, protected, cfg), "spans")
     out = None
     for name in ("symspell", "ngram_rapidfuzz"):
         if name in cfg.strategies:
