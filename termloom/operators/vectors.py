@@ -53,16 +53,19 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """
     q_id, v_id = queries.schema["query_id"].dataType.simpleString(), index.schema["vector_id"].dataType.simpleString()
     n_index, n_queries = (max(1, -(-df.count() // BLOCK)) for df in (index, queries))
-    cells = index.select("vector_id", normalized(F.col("vector")).alias("vector")).groupBy(F.pmod(F.xxhash64("vector_id"), F.lit(n_index)).alias("block")).agg(F.collect_list(F.struct("vector_id", "vector")).alias("rows"))
-    asked = queries.select("query_id", normalized(F.col("vector")).alias("vector")).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("qblock")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    cells = index.select("vector_id", "vector").groupBy(F.pmod(F.xxhash64("vector_id"), F.lit(n_index)).alias("block")).agg(F.collect_list(F.struct("vector_id", "vector")).alias("rows"))
+    asked = queries.select("query_id", "vector").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("qblock")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)))).join(cells.withColumn("block", F.col("block").cast("int")), "block")
 
+    def unit(rows) -> np.ndarray:
+        m = np.array([r["vector"] for r in rows], np.float64)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm > 0, norm, 1.0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for asked_rows, rows in zip(batch["asked"], batch["rows"]):
-                a = np.array([r["vector"] for r in asked_rows], np.float32)
-                b = np.array([r["vector"] for r in rows], np.float32)
-                sims = np.clip(a @ b.T, -1.0, 1.0)
+                sims = np.clip(unit(asked_rows) @ unit(rows).T, -1.0, 1.0)
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 ids = np.array([r["vector_id"] for r in rows], dtype=object)
                 yield pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in asked_rows], top.shape[1]), "vector_id": ids[top.ravel()], "similarity": np.take_along_axis(sims, top, 1).ravel().astype(float)})

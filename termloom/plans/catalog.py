@@ -475,12 +475,12 @@ def even_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 KNN_SQL = """
-    WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS vector_id, i.label, list_cosine_similarity(q.embedding, i.embedding) AS sim FROM embeddings q JOIN embeddings i ON q.vec_id % 2 = 1 AND i.vec_id % 2 = 0),
+    WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS vector_id, i.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS sim FROM embeddings q JOIN embeddings i ON q.vec_id % 2 = 1 AND i.vec_id % 2 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vector_id) AS rn FROM p)
 """
 
 
-@query(KNN_SQL + "SELECT query_id, vector_id, round(CAST(sim AS DOUBLE), 4) AS similarity, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 10")
+@query(KNN_SQL + "SELECT query_id, vector_id, round(sim, 4) AS similarity, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 10")
 def knn_cosine(spark, sf_dir):
     queries, index = even_index(spark, sf_dir)
     return vectors.nearest(queries, index).withColumn("similarity", F.round("similarity", 4))
