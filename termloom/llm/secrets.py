@@ -21,10 +21,11 @@ BASE = (
 )
 #: Cheap texts that a match needs; None: none is known, and a shorter pattern is tried instead.
 NEEDS = {"assign": r"[:=]", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
-#: Weak parts of this engine's own: kind, pattern, part played.
+#: Weak parts of this engine's own: kind, pattern, part played. A weak identifier's name may have a prefix (aws_, DB_);
+#: a weak secret may follow = or : and end a sentence.
 WEAK = (
-    ("weak_id", r"(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}", "id"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=_.-])", "secret"),
+    ("weak_id", r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]*(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}", "id"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=_-]|\.[A-Za-z0-9+/=_-])", "secret"),
     ("weak_endpoint", r"(?i)(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", "endpoint"),
 )
 WEAK_NEEDS = {"weak_id": r"[:=]", "weak_secret": r"[A-Za-z0-9+/]{24}", "weak_endpoint": r"://"}
