@@ -26,9 +26,10 @@ PER_FILE = 1000
 RECORDS = "record_id string, record_type string, concurrent_to string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, page_id string, payload string"
 
 
-def _urn(role: str, page_id: Column) -> Column:
-    """A record id made from the capture's role and key: reruns and lost tasks give the same one."""
-    h = F.md5(F.concat(F.lit(f"{role}:"), page_id).cast("binary"))
+def _urn(role: str, page_id: Column, digest: Column, url: Column, copy: Column) -> Column:
+    """A record id made from the capture's role and content and its number among equal ones: reruns and lost tasks give the same one."""
+    named = F.coalesce(F.concat(F.lit("="), page_id.cast("string")), F.lit(""))
+    h = F.md5(F.concat_ws(":", F.lit(role), copy.cast("string"), digest, F.length(url).cast("string"), url, named).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -40,27 +41,35 @@ def _record(kind: str, rid: Column, uri: Column, mime: str, body: Column, *more:
 def write_captures(pages: DataFrame, folder: str) -> None:
     """Write three records for each row of pages (page_id, url, html); a null html is an empty payload.
 
-    Of equal payloads of MIN_REVISIT bytes or more, that with the smallest page_id becomes a response,
-    the others revisits that refer to it; rows that tie on that page_id stay responses. A null page_id counts as
-    larger than all others, a null url is written as empty, line ends within a url are dropped.
+    Every row is a capture with ids of its own, also where page_id is null or repeats; page_id is metadata only. Rows equal
+    in page_id, url and payload are told apart by a number. Of equal payloads of MIN_REVISIT bytes or more, that with the
+    smallest page_id, then url becomes a response, the others revisits that refer to it; rows that tie on that page_id stay
+    responses. A null page_id counts as larger than all others, a null url is written as empty, line ends within a url are dropped.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    narrow = base.select("page_id", "digest", F.octet_length("html").alias("size"))
-    # only digests that occur again are joined; the rest, nearly all, is told by an outer join of narrow rows
-    first = narrow.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = base.join(first, "digest", "left")
+    # digests that occur again, in narrow rows; the rest, nearly all, passes by
+    lead = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("lead")
+    again = base.select("page_id", "url", "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), lead).where("n > 1")
+    again = staged(again.select("digest", F.col("lead.page_id").alias("first_id"), F.col("lead.url").alias("first_url")), "payloads")
+    rows = base.join(again, "digest", "left_anti").select("*", F.lit(None).cast(pages.schema["page_id"].dataType).alias("first_id"), F.lit(None).cast("string").alias("first_url"), F.lit(0).cast("long").alias("copy"))
+    if not again.isEmpty():
+        # equal rows are counted, then written as often, so no group is gathered
+        counted = base.join(again, "digest").groupBy("page_id", "url", "digest", "first_id", "first_url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    revisit = F.coalesce(F.col("first_id") != F.coalesce(F.col("page_id"), F.col("first_id") + 1), F.lit(False))
+    large = F.octet_length("html") >= MIN_REVISIT
+    revisit = F.coalesce(large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
     digest = F.concat(F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"))
-    refers = F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), _urn("response", F.col("first_id").cast("string")))
-    rid = _urn("response", key)
+    refers = F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), _urn("response", F.col("first_id"), F.col("digest"), F.col("first_url"), F.lit(0)))
+    own = [F.col(c) for c in ("page_id", "digest", "url", "copy")]
+    rid = _urn("response", *own)
     near = F.concat(F.lit(f"{CRLF}WARC-Concurrent-To: "), rid)
     url = F.col("url")
-    request = _record("request", _urn("request", key), url, "application/http; msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF * 2}")), near)
+    request = _record("request", _urn("request", *own), url, "application/http; msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF * 2}")), near)
     response = F.when(revisit, _record("revisit", rid, url, "application/http; msgtype=response", http, digest, refers)).otherwise(_record("response", rid, url, "application/http; msgtype=response", F.concat(http, "html"), digest))
-    metadata = _record("metadata", _urn("metadata", key), url, "application/warc-fields", F.concat(F.lit("page-id: "), key, F.lit(CRLF)), near)
+    metadata = _record("metadata", _urn("metadata", *own), url, "application/warc-fields", F.concat(F.lit("page-id: "), key, F.lit(CRLF)), near)
     rows.select(F.concat_ws(CRLF, request, response, metadata).alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(folder)
 
 
@@ -114,7 +123,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives in the shared folder, read them, assemble captures and resolve revisits.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the response).
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the response), a row for each
+    row of pages.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

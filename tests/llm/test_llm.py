@@ -99,6 +99,24 @@ def test_warc_records(spark, tmp_path):
     assert len(one) == 1 and one[0].response.payload == "<p>é</p>" and one[0].request.target_uri == "http://a/" and one[0].metadata.page_id == "1"
 
 
+def test_warc_null_and_repeated_ids(spark):
+    """A row for each page: null and repeated page_ids, with equal and different html."""
+    a, b, c = ("<p>" + x * 120 for x in "abc")
+    pages = [(1, "u", a), (1, "u", b), (9, "u", b), (4, "u", a + "long"), (4, "u", "short"), (None, "u", c), (None, "u", c + "1"), (None, "v", c), (None, "u", c), (None, None, None), (None, None, None), (6, "x", a), (1, "w", a), (1, "u", a), (3, "u", None), (3, "u", "")]
+    got = sorted((tuple(r) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()), key=repr)
+    row = lambda i, x, kind="response", to=None: (i, len(x), hashlib.sha256(x.encode()).hexdigest(), kind, to)
+    expected = [row(i, x or "") for i, _, x in pages if i not in (9, 6)] + [row(9, b, "revisit", 1), row(6, a, "revisit", 1)]
+    assert got == sorted(expected, key=repr)
+
+
+def test_warc_ids_are_distinct(spark, tmp_path):
+    df = spark.createDataFrame([(None, "u", "x")] * 3 + [(2, "u", "x")] * 2 + [(2, "u", "y")], "page_id long, url string, html string")
+    warc.write_captures(df, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"), payload=True)
+    assert records.select("record_id").distinct().count() == records.count() == 18
+    assert sorted((r.metadata.page_id, r.response.payload) for r in warc.assemble(records).collect()) == [("2", "x")] * 2 + [("2", "y")] + [("null", "x")] * 3
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------------
 
 
