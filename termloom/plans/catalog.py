@@ -468,10 +468,14 @@ def fuzzy_layer(spark, sf_dir):
 # --- semantic layer --------------------------------------------------------------------------------------
 
 
+def all_vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnsRenamed({"embedding": "vector", "vec_id": "vector_id"}).withColumn("target_id", F.col("label").cast("string"))
+
+
 def even_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Even vec_ids as the index, odd ones as queries: the split of the fixture."""
-    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
-    return e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "vector_id").withColumn("target_id", F.col("label").cast("string"))
+    """Even vec_ids as the index, odd ones as queries: the split that KNN_SQL has."""
+    e = all_vectors(spark, sf_dir)
+    return e.where("vector_id % 2 = 1").withColumnRenamed("vector_id", "query_id").drop("target_id"), e.where("vector_id % 2 = 0")
 
 
 KNN_SQL = """
@@ -499,8 +503,9 @@ def semantic_accept(spark, sf_dir):
 
 @query()
 def vec_index_roundtrip(spark, sf_dir):
+    """All rows of embeddings, written as an index and read back."""
     folder = f"{shared_dir(spark)}/vectors-{id(object())}"
-    tables.write_vectors(even_index(spark, sf_dir)[1], folder, "none")
+    tables.write_vectors(all_vectors(spark, sf_dir), folder, "none")
     index, about = tables.read_vectors(spark, folder)
     return index.select("vector_id", "target_id", F.size("vector").alias("dim")).withColumn("count", F.lit(about["count"]))
 

@@ -39,3 +39,9 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["scan_synonyms", "scan_drugs", "token_sort_ratio", "token_set_ratio", "vec_index_roundtrip", "edit_suggestions", "fuzzy_score"])
 def test_query_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_whole_table_in_the_vector_index(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id", "cast(label AS string)", "size(embedding)").collect()
+    got = catalog.QUERIES["vec_index_roundtrip"](spark, SF).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(map(tuple, e)) and {r["count"] for r in got} == {len(e)}
