@@ -133,18 +133,18 @@ def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.n
     return np.concatenate(sigs).view(np.int64), np.concatenate(owners), np.concatenate(tags).astype(np.int64)
 
 
-def _word_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id_col, n_shingles, set_key (null for the empty set) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _word_sets(docs: DataFrame, width: int, ids: list[str], text_col: str) -> DataFrame:
+    """The columns ids, n_shingles, set_key (null for the empty set) of every row."""
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
+            for start, texts in slices(batch.column(len(ids))):
                 doc, value, count = shingle_sets(texts, width)
                 keys = pa.array(set_keys(doc, value, count), mask=count == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(count.astype(np.int64)), keys], [id_col, "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(len(ids))), pa.array(count.astype(np.int64)), keys], [*ids, "n_shingles", "set_key"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_key bigint")
+    return docs.select(*ids, text_col).mapInArrow(run, ", ".join([*kinds, "n_shingles bigint", "set_key bigint"]))
 
 
 def _signed(docs: DataFrame, width: int, bands: Bands, text_col: str) -> DataFrame:
@@ -312,14 +312,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id reachable by links) of every row.
-
-    Links hold where den * |a & b| >= num * |a | b| for the sets of width-word shingles. A null or blank text has no
-    shingle and no link: component_id is its own id. Rows stay one to one; rows that repeat an id or a text, or
-    have a null id, keep their own row, and a null id is never the smallest. Shingles are held as 64-bit hashes.
-    """
-    rows = staged(_word_sets(docs, width, id_col, text_col), "sets")
+def _placed(docs: DataFrame, width: int, num: int, den: int, ids: list[str], text_col: str) -> DataFrame:
+    """The columns ids, n_shingles, set_key and component (the smallest set_key reachable by links; null for the empty set) of every row."""
+    rows = staged(_word_sets(docs, width, ids, text_col), "sets")
     signed = _signed(docs, width, Bands(num, den), text_col)
     shared = staged(signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1"), "shared")
     # where a signature isn't hot its sets are few: pairs of them are counted
@@ -336,7 +331,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     clusters = staged(components(stars).toDF("set_key", "cluster"), "clusters")
     sets = _elements(docs, clusters.select("set_key"), width, text_col).join(clusters, "set_key").dropDuplicates(["set_key"])
     comps = staged(components(_linked(sets, num, den)), "components")
-    placed = rows.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    return rows.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable by links) of every row.
+
+    Links hold where den * |a & b| >= num * |a | b| for the sets of width-word shingles. A null or blank text has no
+    shingle and no link: component_id is its own id. Rows stay one to one; rows that repeat an id or a text, or
+    have a null id, keep their own row, and a null id is never the smallest. Shingles are held as 64-bit hashes.
+    """
+    placed = _placed(docs, width, num, den, [id_col], text_col)
     smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min(id_col).alias("component_id"))
     empty = placed.where("component IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
     full = placed.where("component IS NOT NULL").join(smallest, "component").select(id_col, "n_shingles", "component_id")
@@ -344,11 +349,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component of links: that of the smallest id. All columns stay.
+    """One row of docs for each component of links: that of the smallest id, then set. All columns stay.
 
-    Of rows that repeat the id kept, one stays. Rows without an id can't be named by one and stay as they are.
+    A row goes only if its own component has a survivor, so rows that share an id but not a component stay; of rows equal in
+    id and text, one stays. Rows without an id can't be named by one and stay as they are.
     """
-    found = jaccard_components(docs, width, num, den, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    own = "jaccard_text_key"
+    keyed = docs.withColumn(own, F.xxhash64(text_col))
+    found = _placed(keyed, width, num, den, [id_col, own], text_col).where(F.col(id_col).isNotNull())
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(id_col, "set_key", own)).alias("first"))
+    kept = first.select(f"first.{id_col}", f"first.{own}").unionByName(found.where("component IS NULL").select(id_col, own))
+    named = keyed.join(kept, [id_col, own], "left_semi").dropDuplicates([id_col, own]).select(docs.columns)
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

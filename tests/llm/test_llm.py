@@ -182,6 +182,17 @@ def test_jaccard_ids_and_stage(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_near_copies_with_repeated_ids(spark):
+    """Rows that share an id go only with a survivor of their own component."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c = "c1 c2 c3 c4 c5 c6 c7"
+    texts, ids = [a, b, c, a + " x", b, a, b + " x", None, None, ""], [1, 1, 1, 2, 3, 1, None, 8, 8, 1]
+    kept = jaccard.drop_near_copies(docs(spark, texts, ids)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (1, b), (1, c), (None, b + " x"), (8, None), (1, "")], key=repr)
+    swapped = jaccard.drop_near_copies(docs(spark, [a + " x", b, a], [5, 5, 9])).collect()
+    assert sorted((r.doc_id, r.text) for r in swapped) == [(5, a + " x"), (5, b)]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     assert {(r.node, r.component) for r in jaccard.components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
