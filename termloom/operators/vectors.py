@@ -49,11 +49,12 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vector_id, similarity, rn): the k nearest of index(vector_id, vector) for every row of queries(query_id, vector).
 
     Both sides are cut into blocks of about BLOCK rows by a hash; each pair of blocks is one matrix product, of
-    which k neighbours a query are kept, and the best of those are ranked. Similarity is clamped to [-1, 1].
+    which k neighbours a query are kept, and the best of those are ranked. Rows of a block are in order of vector_id, so that
+    both cuts break ties by it. Similarity is clamped to [-1, 1].
     """
     q_id, v_id = queries.schema["query_id"].dataType.simpleString(), index.schema["vector_id"].dataType.simpleString()
     n_index, n_queries = (max(1, -(-df.count() // BLOCK)) for df in (index, queries))
-    cells = index.select("vector_id", "vector").groupBy(F.pmod(F.xxhash64("vector_id"), F.lit(n_index)).alias("block")).agg(F.collect_list(F.struct("vector_id", "vector")).alias("rows"))
+    cells = index.select("vector_id", "vector").groupBy(F.pmod(F.xxhash64("vector_id"), F.lit(n_index)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("vector_id", "vector"))).alias("rows"))
     asked = queries.select("query_id", "vector").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("qblock")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)))).join(cells.withColumn("block", F.col("block").cast("int")), "block")
 

@@ -133,6 +133,13 @@ def test_nearest_against_numpy(spark, monkeypatch):
             assert got[i, k][0] == j and got[i, k][1] == pytest.approx(sims[i, j], abs=1e-5)
 
 
+def test_nearest_breaks_ties_by_id(spark):
+    """Many equal vectors in one block, collected in falling order of their ids."""
+    index = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40, 0, -1)] + [(0, [2.0, -1.0])], "vector_id long, vector array<float>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 2.0])], "query_id long, vector array<float>")
+    assert [r.vector_id for r in vectors.nearest(asked, index, 5).orderBy("rn").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_entities(spark):
     n = note_frame(spark, "allergia a (sodio), rosso e febbre")
     e = spark.createDataFrame([(0, "B-DRUG", None, "x", 11, 19, 0.9), (0, None, "drug", "x", 20, 25, 0.9), (0, "DISEASE", None, "x", 28, 34, 0.9), (0, "DRUG", None, "x", 0, 2, 0.9)], "note_id long, entity_group string, entity string, word string, start int, end int, score double")
