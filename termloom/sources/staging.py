@@ -9,25 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests), a new one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new one in local mode, an error on a cluster: executors
+    wouldn't see each other's folders there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master!r})")
         folder = tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _on(spark: SparkSession, folder: str):
+    """A folder as Hadoop's path, and the file system it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, folder: str) -> None:
+    """Have an existing folder deleted when the driver's JVM ends."""
+    path, store = _on(spark, folder)
+    store.deleteOnExit(path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write df as Parquet below the shared folder and read it back. The files go with unstage(), or else when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(*tables: DataFrame) -> None:
     """Delete what staged() wrote, through Hadoop's file system, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path, store = _on(df.sparkSession, folder)
+            store.delete(path, True)
