@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.sources.staging import passing, shared_dir, staged, unstage
+
+__all__ = ["SPACES", "WORD_GAP", "held_out", "labelled_sample", "let", "passing", "repeated", "running", "shared_dir", "slices", "staged", "table", "unstage"]
+
 #: What separates words in every contract of this subpackage: space and the ASCII controls 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,30 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests), a new one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete what staged() wrote, through Hadoop's file system, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def repeated(df: DataFrame, times: str, index: str, chunk: int = 4096) -> DataFrame:
+    """Each row `times` (a column, which goes) times, with a 0-based column index. Rows asked for more than chunk times are dealt out between, so
+    that no task makes more than chunk rows of one."""
+    n, part = F.col(times), f"{index}_part"
+    parts = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk))))
+    few, many = parts.where(n <= chunk), parts.where(n > chunk)
+    each = few.unionByName(many.repartition(F.col(part), F.rand(1)))
+    own = F.sequence(F.col(part) * chunk, F.least(n, (F.col(part) + 1) * chunk) - 1)
+    return each.withColumn(index, F.explode(own)).drop(times, part)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,3 +72,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     parts = [found.where(F.col("label") == c).orderBy("place", "doc_id", "text").limit(rows // 2).select("text", "label") for c in (0, 1)]
     got = parts[0].unionByName(parts[1]).toArrow()
     return got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64), (n.get(1, 0) + 1) / (sum(n.values()) + 2)
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For each element of an int array what add (associative, from 0) makes of those before it; in two levels, so that no long array is
+    copied for each element."""
+    ints = "array<int>"
+    step = lambda acc, x: F.struct(add(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    scan = lambda xs, start: F.aggregate(xs, F.struct(start.cast("int").alias("at"), F.array().cast(ints).alias("out")), step, lambda acc: acc["out"])
+
+    def of(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+        inner = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda x: F.aggregate(x, F.lit(0), lambda a, y: add(a, y).cast("int"))), F.lit(0)), scan))
+        return let(blocks, inner)
+
+    return F.when(F.size(values) == 0, F.array().cast(ints)).otherwise(let(values, of))
