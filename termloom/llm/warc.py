@@ -13,16 +13,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import shared_dir, staged
+from termloom.llm.common import passing, repeated, shared_dir, staged
 
 CRLF = "\r\n"
 #: Smallest payload, in bytes, for which a revisit record is written.
 MIN_REVISIT = 100
-#: Captures in one archive file at most, so that a reader never holds a large file.
-PER_FILE = 1000
+#: Captures in one archive file at most, payload bytes in one file (about), and payload bytes from which a capture counts as large.
+#: A file of others holds PER_FILE * LARGE bytes at most, one of large captures FILE_BYTES, or a single capture.
+PER_FILE, FILE_BYTES, LARGE = 1000, 1 << 28, 1 << 18
 RECORDS = "record_id string, record_type string, concurrent_to string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, page_id string, payload string"
 
 
@@ -45,19 +46,22 @@ def write_captures(pages: DataFrame, folder: str) -> None:
     in page_id, url and payload are told apart by a number. Of equal payloads of MIN_REVISIT bytes or more, that with the
     smallest page_id, then url becomes a response, the others revisits that refer to it; rows that tie on that page_id stay
     responses. A null page_id counts as larger than all others, a null url is written as empty, line ends within a url are dropped.
+    page_id may have any atomic type; it is written URL-encoded, null as the word null. An empty table gives no record.
     """
-    html = F.coalesce("html", F.lit(""))
+    html, most = F.coalesce("html", F.lit("")), Observation()
     base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     # digests that occur again, in narrow rows; the rest, nearly all, passes by
     lead = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("lead")
-    again = base.select("page_id", "url", "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), lead).where("n > 1")
+    seen = base.observe(most, F.max(F.octet_length("html")).alias("bytes"))
+    again = seen.select("page_id", "url", "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), lead).where("n > 1")
     again = staged(again.select("digest", F.col("lead.page_id").alias("first_id"), F.col("lead.url").alias("first_url")), "payloads")
     rows = base.join(again, "digest", "left_anti").select("*", F.lit(None).cast(pages.schema["page_id"].dataType).alias("first_id"), F.lit(None).cast("string").alias("first_url"), F.lit(0).cast("long").alias("copy"))
     if not again.isEmpty():
         # equal rows are counted, then written as often, so no group is gathered
         counted = base.join(again, "digest").groupBy("page_id", "url", "digest", "first_id", "first_url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
-        rows = rows.unionByName(counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+        rows = rows.unionByName(repeated(counted, "n", "copy"))
+    key = F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("null"))
+    key = F.when(F.col("page_id").cast("string") == "null", F.lit("%6Eull")).otherwise(key)
     large = F.octet_length("html") >= MIN_REVISIT
     revisit = F.coalesce(large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
@@ -70,29 +74,72 @@ def write_captures(pages: DataFrame, folder: str) -> None:
     request = _record("request", _urn("request", *own), url, "application/http; msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF * 2}")), near)
     response = F.when(revisit, _record("revisit", rid, url, "application/http; msgtype=response", http, digest, refers)).otherwise(_record("response", rid, url, "application/http; msgtype=response", F.concat(http, "html"), digest))
     metadata = _record("metadata", _urn("metadata", *own), url, "application/warc-fields", F.concat(F.lit("page-id: "), key, F.lit(CRLF)), near)
-    rows.select(F.concat_ws(CRLF, request, response, metadata).alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(folder)
+    largest = most.get["bytes"] or 0
+    parts = [(None, PER_FILE)] if largest < LARGE else [(F.octet_length("html") < LARGE, PER_FILE), (F.octet_length("html") >= LARGE, max(1, FILE_BYTES // largest))]
+    for which, per_file in parts:
+        some = rows if which is None else rows.where(which)
+        some.select(F.concat_ws(CRLF, request, response, metadata).alias("value")).write.mode("append").option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+
+
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a gzip file, all its members (one for each record, in many archives), piece by piece; bytes that aren't gzip pass as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + step] for k in range(0, len(data), step))
+        return
+    rest = data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(rest, step)
+            rest = member.unconsumed_tail
+            yield piece
+            if not piece and not rest and not member.eof:
+                raise ValueError("an archive ends within a gzip member")
+        rest = member.unused_data.lstrip(b"\x00")
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive that comes in pieces: named fields in lower case, and the block. Content-Length alone bounds a
+    block. One record is held at a time."""
+    held, more = bytearray(), True
+    while True:
+        begin = held.find(b"WARC/1.")
+        stop = held.find(b"\r\n\r\n", max(begin, 0))
+        if begin >= 0 and stop >= 0:
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[begin:stop].decode("utf-8").split(CRLF)[1:])}
+            end = stop + 4 + int(fields["content-length"])
+            while len(held) < end:
+                piece = next(pieces, None)
+                if piece is None:
+                    raise ValueError("an archive ends within a record")
+                held += piece
+            yield fields, bytes(held[stop + 4 : end])
+            del held[:end]
+            continue
+        piece = next(pieces, None)
+        if piece is None:
+            if bytes(held).strip():
+                raise ValueError("an archive ends within a record")
+            return
+        held += piece
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of one archive: named fields in lower case, and the block. Content-Length alone bounds a block."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:stop].decode("utf-8").split(CRLF)[1:])}
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        yield fields, data[begin:at]
+def read_records(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
+    """One row for each record of the archives in folder; payloads are digested anew, and returned if asked.
+
+    A file is unpacked piece by piece and one record is held at a time; a broken file or a payload unlike its digest ends the job.
+    """
 
+    names = [x.split()[0] for x in RECORDS.split(", ")]
 
-def read_records(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """One row for each record of the archives in folder; payloads are digested anew, and returned if asked."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, zip(*rows))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
         for batch in batches:
             for cell in batch.column(0):
-                data, rows = zlib.decompress(cell.as_py(), 47), []
-                for f, block in parse(data):
+                rows = []
+                for f, block in parse(inflated(cell.as_py())):
                     kind, body, page = f["warc-type"], None, None
                     if kind == "response":
                         body = block[block.index(b"\r\n\r\n") + 4 :]
@@ -102,8 +149,11 @@ def read_records(spark: SparkSession, folder: str, payload: bool = False) -> Dat
                         page = next((v.strip() for k, _, v in (x.partition(":") for x in block.decode().split(CRLF)) if k == "page-id"), None)
                     said = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     rows.append((f["warc-record-id"], kind, f.get("warc-concurrent-to"), f.get("warc-target-uri"), said, None if body is None else len(body), f.get("warc-refers-to"), page, body.decode("utf-8") if payload and body is not None else None))
+                    if len(rows) >= (8 if payload else 4096):
+                        yield batch_of(rows)
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, zip(*rows))], names)
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").mapInArrow(run, RECORDS)
 
@@ -129,12 +179,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_captures(pages, folder)
+    passing(spark, folder)
     captures = staged(assemble(read_records(spark, folder)).select(
         "capture_id", F.col("metadata.page_id").alias("key"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("target")
     ), "captures")
     there = captures.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("key").alias("there_key"), F.col("own_bytes").alias("there_bytes"))
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    number = lambda c: F.when(F.col(c) != "null", F.url_decode(c)).cast(kind)
     return captures.join(there, "target", "left").select(
         number("key").alias("page_id"), F.coalesce("own_bytes", "there_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", number("there_key").alias("refers_to")
     )
