@@ -6,7 +6,8 @@
 2. Within a source a document's expected copies grow with the bit length of its size, up to `most`, so
    that expected words meet the target. Its whole part is certain; the rest is its inclusion probability p.
 3. Documents with p > 0 are ranked by Pareto's variable (u / (1 - u)) / (p / (1 - p)), u from a digest of
-   doc_id. The first in that order are taken until the words that remain are spent; a last document,
+   doc_id; rows that share a doc_id, or have none, draw by a digest of all their columns and a number among
+   equal rows. The first in that order are taken until the words that remain are spent; a last document,
    the one whose size is nearest to what is left, closes the gap.
 
 The order is never sorted as a whole: the ranks are binned twice (4096 bins each), the bin where the
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import WORD_GAP, staged
+from termloom.llm.common import WORD_GAP, repeated, staged, unstage
 
 BINS = 4096
 
@@ -50,15 +51,36 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: int
     return w.select("src", "source_size", target.alias("target"), "full")
 
 
+def _with_draws(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with mix_draw, a text that is another one for each row: the id where no other row has it, else a digest and a number."""
+    name = F.col(f"`{id_col}`").cast("string")
+    named = docs.withColumn("mix_draw", name)
+    again = staged(named.select("mix_draw").groupBy("mix_draw").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR mix_draw IS NULL").select(F.coalesce("mix_draw", F.lit("")).alias("mix_again"), F.col("mix_draw").isNull().alias("mix_none")), "again")
+    if again.isEmpty():
+        unstage(again)
+        return named
+    same = (F.coalesce("mix_draw", F.lit("")) == F.col("mix_again")) & (F.col("mix_draw").isNull() == F.col("mix_none"))
+    single = named.join(again, same, "left_anti")
+    # equal rows are counted, then given back as often, so that no group is gathered
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
+    equal = named.join(again, same, "left_semi").select(F.struct(*columns).alias("mix_row"), digest.alias("mix_digest"))
+    counted = equal.groupBy("mix_digest").agg(F.first("mix_row").alias("mix_row"), F.count(F.lit(1)).alias("mix_n"))
+    each = repeated(counted, "mix_n", "mix_copy").select("mix_row.*", F.concat_ws(":", "mix_digest", F.col("mix_copy").cast("string")).alias("mix_draw"))
+    return single.unionByName(staged(each, "repeats"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_copies: how often the mix takes each row.
 
     Null and blank texts have size 0 and are taken as their source's certain copies say; a null source is a
-    source by itself. Rows of a source that repeat doc_id and size are taken or left together. Reruns agree:
-    nothing but doc_id, size and source decides. An empty table gives an empty table.
+    source by itself. Rows that repeat a doc_id, or have none, are taken or left each by itself; of rows equal in all columns
+    a number is taken, and which of them can't be told. Reruns agree: nothing but the rows' content decides. An
+    empty table gives an empty table. Columns of docs keep their names, whatever these are, but for mix_*.
     """
+    docs = _with_draws(docs, id_col)
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.col("mix_draw")
     half = F.conv(F.substring(F.md5(F.col("k").cast("binary")), 1, 13), 16, 10).cast("double")
     band = F.length(F.bin(F.col("mix_size")))
     extra = {"mix_src": src, "mix_size": n_words(F.col(text_col)), "mix_id": key}
@@ -116,10 +138,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rates = b.join(cut.join(closing, "src", "left").select("src", "edge", "last", "closing"), "src", "left")
     rates = staged(rates, "rates")
 
-    names = {c: f"mix_in_{i}" for i, c in enumerate(docs.columns)}
-    held = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    source, text, ident = (F.col(names[c]) for c in (source_col, text_col, id_col))
-    out = held.withColumn("src", F.coalesce(F.concat(F.lit("="), source), F.lit("null"))).withColumn("k", F.coalesce(ident.cast("string"), F.lit(""))).withColumn("mix_size", n_words(text))
+    names = {c: f"mix_in_{i}" for i, c in enumerate(docs.columns) if c != "mix_draw"}
+    held = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col("mix_draw").alias("k"))
+    source, text = (F.col(names[c]) for c in (source_col, text_col))
+    out = held.withColumn("src", F.coalesce(F.concat(F.lit("="), source), F.lit("null"))).withColumn("mix_size", n_words(text))
     out = ranked(out.withColumn("mix_band", F.length(F.bin(F.col("mix_size")))).join(rates, ["src", "mix_band"]))
     closes = F.coalesce(F.struct("x", "k", "mix_size") == F.struct("closing.x", "closing.k", "closing.mix_size"), F.lit(False))
     extra = F.when(F.col("x").isNotNull() & (chosen() | closes), 1).otherwise(0)
