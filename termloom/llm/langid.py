@@ -27,23 +27,37 @@ INDEPENDENT = 40.0
 
 
 def visible_text(html: Column) -> Column:
-    """The text of a page: comments, scripts, styles and tags become spaces; null is empty."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
+    """The text of a page: comments, scripts, styles and tags become spaces; null is empty.
+
+    A comment, script or style that isn't closed reaches to the page's end; a tag holds no other "<", so one that isn't closed stays
+    as text. Each pattern reads a character a bounded number of times, however broken the page.
+    """
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*+>|\z)", " ")
+    t = F.regexp_replace(t, r"<[^<>]*+>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     return t
 
 
 def declared_language(html: Column) -> Column:
-    """The primary subtag of <html lang=...>, lower-cased; empty if none."""
-    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    """The primary subtag of <html lang=...>, or else of <meta http-equiv="content-language" content=...>, lower-cased; empty if none."""
+    h = F.coalesce(html, F.lit(""))
+    of_html = F.regexp_extract(h, r"(?i)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", 1)
+    of_meta = F.regexp_extract(h, r"(?i)<meta\b(?=[^<>]*?\bhttp-equiv\s*+=\s*+[\"']?content-language\b)[^<>]*?\bcontent\s*+=\s*+[\"']?([A-Za-z]{2,3})\b", 1)
+    return F.lower(F.when(of_html != "", of_html).otherwise(of_meta))
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; the last three where the last two are a country's registry for one kind of holder, as co.uk."""
+    # Second-level names that registries of countries hand out below.
+    shared = host.rlike(r"\.(?:ac|co|com|edu|gob|gov|net|or|org)\.[a-z]{2}$")
+    return F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages of docs(text, lang), and log shares of each bucket by language, counted over all of docs.
 
@@ -110,7 +124,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     read = pages.select("page_id", host.alias("host"), declared_language(F.col("html")).alias("declared"), visible_text(F.col("html")).alias("text"))
     if not langs:
         return read.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared")
-    read = read.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    read = read.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", domain_of(F.col("host")))
     k = len(langs)
     names = F.array(*map(F.lit, langs))
     pick = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
