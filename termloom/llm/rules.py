@@ -5,6 +5,10 @@ hypothesis of a cutoff: it rejects more than alpha of them), an exact binomial t
 cutoff from the mildest on; a stratum's cutoff is the strictest one up to which every test passes (fixed
 sequence), at level delta over the number of strata and rules (Bonferroni). So with probability
 1 - delta no stratum loses more than alpha of its good documents to a rule.
+
+Equal texts are one trial, since the bound is for independent ones; near copies count each. Even a cutoff that rejects none of n good texts
+passes only if (1 - alpha / rules) ** n <= delta / (rules * strata): with the defaults 777 of a stratum are needed. Fewer certify
+nothing, and then only the base rules reject.
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed of every whole text.
+    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed and text_key (a hash) of every whole text.
 
     A null or empty text has zeros and fails the base rules. Rows stay one to one; other columns aren't read.
     """
@@ -77,11 +81,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
         return F.struct(
             (chars - (F.length(F.translate(t, "#*$%&|<>", "")))).cast("long").alias("n_symbols"),
-            F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"), let(inner, words).alias("w"), dup.alias("l"),
+            F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"), let(inner, words).alias("w"), dup.alias("l"), F.xxhash64(t).alias("text_key"),
         )
 
     f = docs.select(F.col(id_col).alias("doc_id"), let(F.coalesce(F.col(text_col), F.lit("")), of).alias("f"))
-    f = f.select("doc_id", "f.w.n_words", "f.word_chars", "f.n_symbols", "f.l.n_lines", "f.l.n_dup_lines", "f.w.n_repeat_words")
+    f = f.select("doc_id", "f.w.n_words", "f.word_chars", "f.n_symbols", "f.l.n_lines", "f.l.n_dup_lines", "f.w.n_repeat_words", "f.text_key")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return f.withColumn("base_failed", failed)
 
@@ -122,11 +126,12 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: flo
     """(stratum, rule, cutoff): reject above the cutoff. At most strata times rules rows; none where no test passes.
 
     labels(doc_id, quality): only rows outside the fold held_out() count, so that the fold can judge the result. Of
-    several labels of a doc_id the smallest counts; null labels count as none.
+    several labels of a doc_id, or of equal texts, the smallest counts; null labels count as none.
     """
     budget, level = alpha / len(RULES), delta / (len(RULES) * (len(STRATA) + 1))
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where((F.col("quality") == 1) & ~held_out("doc_id"))
-    rows = feats.where(~F.col("base_failed")).select("doc_id", stratum(F.col("n_words")).alias("stratum"), *(ratio(r).alias(r) for r in RULES)).join(good, "doc_id")
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isNotNull() & ~held_out("doc_id"))
+    rows = feats.where(~F.col("base_failed")).select("doc_id", "text_key", stratum(F.col("n_words")).alias("stratum"), *(ratio(r).alias(r) for r in RULES)).join(known, "doc_id")
+    rows = rows.groupBy("text_key", "stratum", *RULES).agg(F.min("quality").alias("quality")).where("quality = 1")
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) * GRID).cast("int").alias("bin")) for r in RULES)))
     hist = rows.select("stratum", pairs.alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(F.count(F.lit(1)).alias("c"))
     # a row of bin b is rejected by the cutoffs g / GRID with g < b
