@@ -1,31 +1,43 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 Sets of word shingles whose Jaccard similarity is t or more, with sizes in one band [l, l / t), differ in at
-most k elements. The feature domain is partitioned by hash into n1 groups of N2 partitions; one
-group holds at most K2 = floor(k / n1) of the differences, so with N2 partitions a group, some choice of N2 - K2
-of them agrees. Each choice is a signature: equal sets there give equal signatures. A set signs for
+most k elements. The feature domain is dealt by hash into n1 groups of N2 partitions, and every subset of KEPT of a group's
+partitions is a signature: its hash over the set's elements in those partitions. A group with at most N2 - KEPT differences keeps a
+subset that no difference touches, and n1 is such that k differences, however they fall, leave several. A set signs for
 its own band and for the next, which any partner's band is one of.
 
-Nodes are distinct sets (64-bit key), so copies cost nothing. Similar sets share not one signature but a known number
+Nodes are distinct sets, so copies cost nothing. Similar sets share not one signature but a known number
 at least, so pairs must share several; sets of signatures that very many share are tied to one pivot. What
 such pairs and ties connect is a cluster, and a cluster's sets are compared block by block, exactly. A block pair
 returns a spanning forest of its links, never all pairs.
+
+Up to the clusters a set goes by a 64-bit key, for which sets that collide would only be compared in vain; what is linked, by
+128 bits. Groups that may hold much of the table are split: hot signatures by salts (a sample tells which), clusters
+into blocks, and rows of one set or component are joined by broadcast where they are more than 1 / HOT_KEYS of all rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from termloom.llm.bytesvec import Words, mix
 from termloom.llm.common import slices, staged, unstage
 
-N2, K2 = 2, 1
+#: Partitions of a group, and how many of them a signature takes.
+N2, KEPT = 3, 2
+#: Signatures that two sets have to share, and from how many sets on a signature counts as hot.
+COMMON, HOT = 3, 16
+#: Join keys with more than a 1 / HOT_KEYS of all rows (HOT_KEYS at most) are joined by broadcast.
+HOT_KEYS = 2000
 _COEF = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -58,10 +70,20 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def set_keys(doc: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each document's set: equal sets have equal keys."""
-    total = np.zeros(len(count), np.uint64)
-    np.add.at(total, doc, mix(value ^ _COEF[1]))
-    return mix(total + count.astype(np.uint64) * _COEF[0]).view(np.int64)
+    """A 128-bit key for each document's set, as two columns of integers: equal sets have equal keys."""
+    out = np.zeros((len(count), 2), np.uint64)
+    for k in (0, 1):
+        np.add.at(out[:, k], doc, mix(value * _COEF[k + 2] ^ _COEF[1 + k]))
+        out[:, k] = mix(out[:, k] + count.astype(np.uint64) * _COEF[k])
+    return out
+
+
+def _binary(keys: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """Keys as 16 bytes each; null where mask is set."""
+    whole = np.ascontiguousarray(keys)
+    fixed = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(whole.tobytes())])
+    cells = fixed.cast(pa.binary())
+    return cells if mask is None else pc.if_else(pa.array(mask), pa.scalar(None, pa.binary()), cells)
 
 
 class Bands:
@@ -78,35 +100,45 @@ class Bands:
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low_array, size, "right") - 1
 
-    def groups(self, scheme: np.ndarray) -> np.ndarray:
-        """n1 for pairs whose larger set is in the band `scheme`: sizes a + b <= 2 (low of the next - 1)."""
-        most = self.low_array[scheme + 1] - 1
-        # |a ^ b| <= (a + b)(1 - t) / (1 + t), for integers
-        k = 2 * most * (self.den - self.num) // (self.den + self.num)
-        spare = 3 + k // 12
-        return k // (K2 + 1) + 1 + spare
-
     def differ(self, scheme: np.ndarray) -> np.ndarray:
+        """k for pairs whose larger set is in the band `scheme`: |a ^ b| <= (a + b)(1 - t) / (1 + t), in integers, sizes below the next band."""
         most = self.low_array[scheme + 1] - 1
         return 2 * most * (self.den - self.num) // (self.den + self.num)
 
 
-#: A signature of more sets than this is hot; two sets that share this many signatures that aren't hot are candidates.
-HOT, COMMON = 16, 4
+def intact(k: int, n1: int) -> int:
+    """Subsets that k differences leave untouched, at least: most are lost if they fall evenly on the groups."""
+    each, more = divmod(k, n1)
+    left = lambda d: math.comb(max(N2 - d, 0), KEPT)
+    return (n1 - more) * left(each) + more * left(each + 1)
+
+
+@cache
+def n_groups(k: int) -> int:
+    """The least n1 that leaves COMMON subsets, and a few more for those that turn out hot."""
+    n1 = k // (N2 - KEPT + 1) + 1
+    while intact(k, n1) < COMMON + 2 + k // 16:
+        n1 += 1
+    return n1
+
 
+_SUBSETS = np.array(list(combinations(range(N2), KEPT)))
 
-def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set key, tag) of all sets, for their own band and the next.
 
-    Each of at most k differences spoils one partition, so similar sets agree in at least all - k partitions. Empty
-    partitions, which many sets share, aren't signed; a set then shares at least bound = all - k - (its empty
-    ones) signatures with any partner. Where that is below COMMON the set signs empty ones too. tag is twice the most hot
+def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, tag) of all sets, for their own band and the next.
+
+    Subsets without any element, which many sets share, aren't signed; a set then shares at least bound = intact() - (its
+    empty ones) signatures with any partner. Where that is below COMMON the set signs empty ones too. tag is twice the most hot
     signatures that still leave COMMON others (bound - COMMON; 0 where empty ones are signed), plus the step.
     """
     sigs, owners, tags = [], [], []
     for step in (0, 1):
         scheme = bands.of(np.maximum(count, 1)) + step
-        n1 = np.where(count > 0, bands.groups(scheme), 0)
+        k = bands.differ(scheme)
+        distinct, back = np.unique(k, return_inverse=True)
+        n1 = np.where(count > 0, np.array([n_groups(int(x)) for x in distinct], np.int64)[back], 0)
+        sure = np.array([intact(int(x), n_groups(int(x))) for x in distinct], np.int64)[back]
         base = np.cumsum(n1 * N2) - n1 * N2
         cells = int((n1 * N2).sum())
         if not cells:
@@ -117,100 +149,198 @@ def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, keys: np.n
         cell = base[doc] + part.astype(np.int64)
         total = np.zeros(cells, np.uint64)
         np.add.at(total, cell, mix(s + _COEF[3]))
-        filled = np.bincount(cell, minlength=cells) > 0
-        owner = np.repeat(np.arange(len(count)), n1 * N2)
-        local = np.arange(cells) - base[owner]
-        sig = mix(total + mix(local.astype(np.uint64) * _COEF[0] + scheme[owner].astype(np.uint64) * _COEF[1]))
-        bound = n1 * N2 - bands.differ(scheme) - np.bincount(owner[~filled], minlength=len(count))
-        all_signed = bound < COMMON
-        tag = np.where(all_signed, 0, bound - COMMON) * 2 + step
-        take = filled | all_signed[owner]
-        sigs.append(sig[take])
-        owners.append(keys[owner[take]])
-        tags.append(tag[owner[take]])
+        filled = (np.bincount(cell, minlength=cells) > 0).reshape(-1, N2)
+        total = total.reshape(-1, N2)
+        owner = np.repeat(np.arange(len(count)), n1)
+        group = np.arange(len(owner)) - (base // N2)[owner]
+        for which, members in enumerate(_SUBSETS):
+            sig = mix((group * len(_SUBSETS) + which).astype(np.uint64) * _COEF[0] + scheme[owner].astype(np.uint64) * _COEF[1])
+            for m in members:
+                sig = mix(sig + total[:, m])
+            sigs.append(sig)
+            owners.append(owner)
+            tags.append(filled[:, members].any(1))
+        own = slice(-len(_SUBSETS), None)
+        signed = np.concatenate(tags[own])
+        whose = np.concatenate(owners[own])
+        bound = sure - np.bincount(whose[~signed], minlength=len(count))
+        everything = bound < COMMON
+        tag = np.where(everything, 0, bound - COMMON) * 2 + step
+        take = signed | everything[whose]
+        sigs[own], owners[own], tags[own] = [np.concatenate(sigs[own])[take]], [whose[take]], [tag[whose[take]]]
     if not sigs:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(sigs).view(np.int64), np.concatenate(owners), np.concatenate(tags).astype(np.int64)
 
 
 def _word_sets(docs: DataFrame, width: int, ids: list[str], text_col: str) -> DataFrame:
-    """The columns ids, n_shingles, set_key (null for the empty set) of every row."""
+    """The columns ids, n_shingles, set_key (16 bytes; null for the empty set) of every row."""
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch.column(len(ids))):
                 doc, value, count = shingle_sets(texts, width)
-                keys = pa.array(set_keys(doc, value, count), mask=count == 0)
+                keys = _binary(set_keys(doc, value, count), count == 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(len(ids))), pa.array(count.astype(np.int64)), keys], [*ids, "n_shingles", "set_key"])
 
-    return docs.select(*ids, text_col).mapInArrow(run, ", ".join([*kinds, "n_shingles bigint", "set_key bigint"]))
+    return docs.select(*ids, text_col).mapInArrow(run, ", ".join([*kinds, "n_shingles bigint", "set_key binary"]))
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch], width: int, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, shingle, count, keys) of slices of texts; count is 0 for the sets that the task remembers, or wanted(keys) refuses."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        for _, texts in slices(batch.column(0)):
+            doc, value, count = shingle_sets(texts, width)
+            keys = set_keys(doc, value, count)
+            new = np.zeros(len(keys), bool)
+            asked = count > 0 if wanted is None else (count > 0) & wanted(keys[:, 0])
+            for i in np.flatnonzero(asked).tolist():
+                key = (int(keys[i, 0]), int(keys[i, 1]))
+                if key not in seen:
+                    seen.add(key)
+                    new[i] = True
+            if len(seen) > 500_000:
+                seen.clear()
+            keep = new[doc]
+            yield doc[keep], value[keep], np.where(new, count, 0), keys
+
+
+#: Salts of a hot signature; the low bits of the tag hold the salt, 0 for signatures that aren't salted.
+SALTS = 64
 
 
-def _signed(docs: DataFrame, width: int, bands: Bands, text_col: str) -> DataFrame:
-    """(sig, set_key, tag) of the distinct sets; a task signs a set once, as far as it remembers."""
+def _signed(docs: DataFrame, width: int, bands: Bands, text_col: str, hot: np.ndarray) -> DataFrame:
+    """(sig, key, tag) of the distinct sets; a task signs a set once, as far as it remembers. Signatures in hot (sorted) are salted."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SIGS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                doc, value, count = shingle_sets(texts, width)
-                keys = set_keys(doc, value, count)
-                new = np.zeros(len(keys), bool)
-                for i, key in enumerate(keys.tolist()):
-                    if count[i] and key not in seen:
-                        seen.add(key)
-                        new[i] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                keep = new[doc]
-                sig, owner, tag = signatures(doc[keep], value[keep], np.where(new, count, 0), keys, bands)
-                if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner), pa.array(tag.astype(np.int32))], ["sig", "set_key", "tag"])
+        known = shared.value
+        for doc, value, count, keys in _new_sets(batches, width):
+            sig, owner, tag = signatures(doc, value, count, bands)
+            if len(sig):
+                key = keys[owner, 0]
+                salt = np.zeros(len(sig), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+                    salt = np.where(known[at] == sig, 1 + (mix(key) % np.uint64(SALTS)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key.view(np.int64)), pa.array((tag * 2 * SALTS + salt).astype(np.int32))], ["sig", "key", "tag"])
 
-    return docs.select(text_col).mapInArrow(run, "sig bigint, set_key bigint, tag int")
+    return docs.select(text_col).mapInArrow(run, "sig bigint, key bigint, tag int")
 
 
-#: Bits of the filter that tells which sets take part in a check. A fuller one lets more pass, none is lost.
-FILTER_BITS = 1 << 24
+#: Share of the rows in the sample that tells hot signatures, and how many may be told.
+SAMPLE, HOT_SIGS = 1 / 64, 20_000
 
 
-def _elements(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(set_key, elements as sorted 64-bit integers in bytes) of the sets in wanted(set_key), and of a few more."""
-    slot = F.col("set_key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = wanted.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 2 MB, whatever the data
+def _hot_signatures(docs: DataFrame, width: int, bands: Bands, text_col: str) -> np.ndarray:
+    """Signatures that so many sets of a sample have that at most HOT_SIGS can. What is missed or told in vain changes who
+    reads a signature's rows, not what is found."""
+    sample = staged(_signed(docs.sample(SAMPLE, 5), width, bands, text_col, np.zeros(0, np.int64)).select("sig", "key").distinct(), "sample")
+    least = max(32, -(-sample.count() // HOT_SIGS))
+    got = sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sig").toArrow()
+    unstage(sample)
+    return np.sort(got.column("sig").to_numpy())
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """(a, b, tag) from signed rows: for signatures of up to HOT sets each pair of their sets (a > b; tag null), for hot and salted
+    ones each row (a: the signature, b: the set). Rows of a signature pass one task in order and aren't held."""
+    dealt = signed.repartition("sig", F.col("tag") % (2 * SALTS)).sortWithinPartitions("sig", F.col("tag") % (2 * SALTS), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value.view(np.uint64), set()
+        held = [np.zeros(0, np.int64)] * 3
+        open_hot = None
+
+        def told(sig: np.ndarray, key: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole groups; equal keys within one, from tasks that signed the same set, count once."""
+            salt = tag % (2 * SALTS)
+            again = np.zeros(len(sig), bool)
+            again[1:] = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1]) & (key[1:] == key[:-1])
+            sig, key, tag, salt = (x[~again] for x in (sig, key, tag, salt))
+            edge = np.ones(len(sig), bool)
+            edge[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+            first = np.flatnonzero(edge)
+            size = np.diff(np.append(first, len(sig)))
+            many = np.repeat(size > HOT, size) | (salt > 0)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(key[many]), pa.array(tag[many].astype(np.int32))], ["a", "b", "tag"])
+            few = np.repeat((size > 1) & (size <= HOT), size) & (salt == 0)
+            sig, key = sig[few], key[few]
+            left, right = [], []
+            for d in range(1, HOT):
+                same = np.flatnonzero(sig[d:] == sig[:-d]) if len(sig) > d else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                left.append(key[same + d])
+                right.append(key[same])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], ["a", "b", "tag"])
+
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                doc, value, count = shingle_sets(texts, width)
-                keys = set_keys(doc, value, count)
-                slots = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                hit = (own[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+            new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            if open_hot is not None:
+                # what goes on with the hot group that the last batch ended in
+                on = (new[0] == open_hot[0]) & (new[2] % (2 * SALTS) == open_hot[1])
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(new[0][on]), pa.array(new[1][on]), pa.array(new[2][on].astype(np.int32))], ["a", "b", "tag"])
+                if on.all():
+                    continue
+                open_hot, new = None, [x[~on] for x in new]
+            held = [np.concatenate([h, x]) for h, x in zip(held, new)]
+            salt = held[2] % (2 * SALTS)
+            last = (held[0] == held[0][-1]) & (salt == salt[-1])
+            done = [x[~last] for x in held]
+            yield from told(*done)
+            held = [x[last] for x in held]
+            if len(np.unique(held[1])) > HOT:
+                open_hot = (held[0][0], salt[-1])
+                yield from told(*held)
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from told(*held)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, tag int")
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each key(key) in wanted, by its low bits; sized by their number, 2 to 32 MB. A fuller one lets more pass, none is lost."""
+    size = 1 << min(28, max(14, (8 * wanted.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = wanted.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return bits
+
+
+def _elements(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(key, set_key, elements as sorted 64-bit integers in bytes) of the sets in wanted(key), and of a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.view(np.uint64)
+
+        def asked(key: np.ndarray) -> np.ndarray:
+            slot = key & np.uint64(len(own) * 64 - 1)
+            return (own[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+        for doc, value, count, keys in _new_sets(batches, width, asked):
+            at = np.flatnonzero(count > 0)
+            if len(at):
                 ends = np.cumsum(count)
-                out: list[tuple[int, bytes]] = []
-                for i in np.flatnonzero((hit == 1) & (count > 0)).tolist():
-                    key = int(keys[i])
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((key, value[ends[i] - count[i] : ends[i]].tobytes()))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], ["set_key", "elements"])
+                cells = pa.array([value[ends[i] - count[i] : ends[i]].tobytes() for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0].copy().view(np.int64)), _binary(keys[at]), cells], ["key", "set_key", "elements"])
 
-    return docs.select(text_col).mapInArrow(run, "set_key bigint, elements binary")
+    return docs.select(text_col).mapInArrow(run, "key bigint, set_key binary, elements binary")
 
 
 #: Elements of a block: of two blocks at most are the sets that one comparison holds.
 BLOCK = 1 << 21
 
 
-def _links(keys: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def _links(keys: list[bytes], parts: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[bytes, bytes]]:
     """Edges that connect what is similar between the sets at `left` and at `right`: a forest, no more edges than sets.
 
     Elements are ranked by rising frequency; similar sets share one of their first size - ceil(size num / den) + 1, so
@@ -242,36 +372,41 @@ def _links(keys: np.ndarray, parts: list[np.ndarray], left: np.ndarray, right: n
             common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             if den * common >= num * (size[i] + size[j] - common):
                 root[root == root[j]] = root[i]
-                out.append((int(keys[i]), int(keys[j])))
+                out.append((keys[i], keys[j]))
     return out
 
 
+def _in_blocks(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """clusters(key, cluster) with blocks: how many a cluster is cut into, by sizes(key, n_shingles) of its sets. Sizes are summed
+    before they meet; what is told of the few large clusters goes to SALTS places, over which a large cluster's rows are spread."""
+    total = clusters.join(sizes, "key").groupBy("cluster").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > BLOCK)
+    large = total.select("cluster", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(large, ["cluster", "salt"], "left").select("key", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+
 def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of sets(cluster, set_key, elements): a spanning forest of all similar pairs within clusters.
+    """Links (a, b) of sets(cluster, blocks, set_key, elements): a spanning forest of all similar pairs within clusters.
 
     A cluster of more than BLOCK elements is cut into blocks by a hash of the key, and each pair of blocks is compared by
     itself; so pairs are neither rows of a table nor held at once, and a group of any size is spread over tasks.
     """
-    n = F.length("elements") / 8
-    totals = sets.groupBy("cluster").agg(F.sum(n).alias("total")).where(F.col("total") > BLOCK).select("cluster", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    cut = sets.join(totals, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    cut = sets.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "elements")
     sorted_ = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_key")
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+    def compare(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         if len(rows) < 2:
             return []
         own = np.array([r[3] for r in rows])
-        keys = np.array([r[4] for r in rows], np.int64)
         everyone, i, j = np.arange(len(rows)), rows[0][1], rows[0][2]
         left, right = (everyone, everyone) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        return _links(keys, [np.frombuffer(r[5], np.uint64) for r in rows], left, right, num, den)
+        return _links([r[4] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows], left, right, num, den) if len(left) and len(right) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if held and row[:3] != held[0][:3]:
@@ -279,59 +414,89 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
                 out = []
         if out := compare(held):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
 
-    return sorted_.mapInArrow(run, "a bigint, b bigint")
+    return sorted_.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges(a, b): the smallest node of each connected component.
+    """(node, component) for the nodes of edges(a, b), of any type that has an order: the smallest node of each connected component.
 
     Alternates large and small star steps over staged edges until nothing moves; hubs are joined, never collected.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        # a small job with a small plan tells whether the last step moved an edge
-        told = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
-        if told == state:
-            break
-        state = told
+
+    def step(df: DataFrame) -> tuple[DataFrame, dict]:
+        """df staged, and what tells whether it differs from what another step staged."""
+        told = Observation()
+        out = staged(df.observe(told, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")), "edges")
+        return out, told.get
+
+    now, state = step(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while state["n"]:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         paired = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         hops = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        after = staged(paired.select(F.explode(hops).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        after, moved = step(paired.select(F.explode(hops).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         unstage(now)
-        now = after
+        now, settled, state = after, moved == state, moved
+        if settled:
+            break
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
-def _placed(docs: DataFrame, width: int, num: int, den: int, ids: list[str], text_col: str) -> DataFrame:
-    """The columns ids, n_shingles, set_key and component (the smallest set_key reachable by links; null for the empty set) of every row."""
+def _join_rows(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with keyed(key, n, ...), whose keys are unique and which tells by n how many rows have them. Keys with more than
+    total / HOT_KEYS rows, HOT_KEYS at most, are broadcast, so no task gets the rows of a hot key."""
+    hot = F.col(n) > max(1, total // HOT_KEYS)
+    few = F.broadcast(keyed.where(hot))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
+def _placed(docs: DataFrame, width: int, num: int, den: int, ids: list[str], text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's ids, n_shingles and set_key (null for the empty set); every set's set_key, n (its rows), component (the smallest
+    set_key reachable by links) and first (the smallest struct of isnull, ids among the component's rows, then set_key); and the
+    number of rows."""
+    bands = Bands(num, den)
     rows = staged(_word_sets(docs, width, ids, text_col), "sets")
-    signed = _signed(docs, width, Bands(num, den), text_col)
-    shared = staged(signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1"), "shared")
+    first = F.min(F.struct(F.col(f"`{ids[0]}`").isNull().alias("none"), *(F.col(f"`{c}`") for c in ids), "set_key")).alias("first")
+    each = staged(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count(F.lit(1)).alias("n"), first, F.first("n_shingles").alias("n_shingles")), "each")
+    met = staged(_met(_signed(docs, width, bands, text_col, _hot_signatures(docs, width, bands, text_col))), "shared")
     # where a signature isn't hot its sets are few: pairs of them are counted
-    few = shared.where(F.col("n") <= HOT).groupBy("sig").agg(F.array_sort(F.collect_set("set_key")).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, HOT), lambda y: F.struct(y.alias("a"), x.alias("b")))))
-    often = few.where(F.size("ks") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("a", "b")
+    often = met.where("tag IS NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("a", "b")
     # a set with too many hot signatures may share too few others with a partner, which then has too many as well
-    hot = shared.where(F.col("n") > HOT)
-    full = hot.groupBy("set_key", "tag").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > F.shiftright("tag", 1)).select("set_key").distinct()
-    tied = hot.join(full, "set_key", "left_semi").select("sig", "set_key")
-    stars = tied.join(tied.groupBy("sig").agg(F.min("set_key").alias("pivot")), "sig").where("set_key <> pivot").select("set_key", "pivot").distinct()
-    stars = often.unionByName(stars.toDF("a", "b"))
+    hot = met.where("tag IS NOT NULL").select(F.col("a").alias("sig"), F.col("b").alias("key"), (F.col("tag") / (2 * SALTS)).cast("int").alias("tag"), (F.col("tag") % (2 * SALTS)).alias("salt"))
+    full = hot.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > F.shiftright("tag", 1)).select("key").distinct()
+    tied = hot.join(full, "key", "left_semi").select("sig", "salt", "key").distinct()
+    pivots = tied.groupBy("sig", "salt").agg(F.min("key").alias("pivot"))
+    stars = tied.join(pivots, ["sig", "salt"]).select("key", "pivot").unionByName(pivots.join(pivots.groupBy("sig").agg(F.min("pivot").alias("top")), "sig").select(F.col("pivot").alias("key"), F.col("top").alias("pivot")))
+    stars = often.unionByName(stars.where("key <> pivot").distinct().toDF("a", "b"))
     # what these connect are clusters; links are within them
-    clusters = staged(components(stars).toDF("set_key", "cluster"), "clusters")
-    sets = _elements(docs, clusters.select("set_key"), width, text_col).join(clusters, "set_key").dropDuplicates(["set_key"])
-    comps = staged(components(_linked(sets, num, den)), "components")
-    return rows.join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    found = components(stars)
+    sizes = each.select(_low_half(F.col("set_key")).alias("key"), "n_shingles")
+    clusters = staged(_in_blocks(found.toDF("key", "cluster"), sizes), "clusters")
+    sets = _elements(docs, clusters, width, text_col).join(clusters, "key").dropDuplicates(["key", "set_key"])
+    linked = components(_linked(sets, num, den))
+    own = each.join(linked.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    own = staged(own, "placed")
+    smallest = staged(own.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n_sets")), "smallest")
+    unstage(met, clusters, each)
+    total = rows.count()
+    return rows, _join_rows(own.drop("first"), smallest, "component", "n_sets", own.count()), total
+
+
+def _low_half(set_key: Column) -> Column:
+    """The first 8 bytes of a 16-byte key, little-endian, as the integer that the signatures' rows have."""
+    turned = F.concat(*(F.substring(F.hex(set_key), 2 * k + 1, 2) for k in range(7, -1, -1)))
+    high = F.conv(F.substring(turned, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(turned, 9, 8), 16, 10).cast("long")
+    return F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low)
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,25 +504,25 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     Links hold where den * |a & b| >= num * |a | b| for the sets of width-word shingles. A null or blank text has no
     shingle and no link: component_id is its own id. Rows stay one to one; rows that repeat an id or a text, or
-    have a null id, keep their own row, and a null id is never the smallest. Shingles are held as 64-bit hashes.
+    have a null id, keep their own row, and a null id is never the smallest unless there is none else. Shingles are held as 64-bit
+    hashes. Ids may have any type that has an order; other columns aren't read. An empty table gives an empty one.
     """
-    placed = _placed(docs, width, num, den, [id_col], text_col)
-    smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min(id_col).alias("component_id"))
-    empty = placed.where("component IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
-    full = placed.where("component IS NOT NULL").join(smallest, "component").select(id_col, "n_shingles", "component_id")
-    return full.unionByName(empty)
+    rows, sets, total = _placed(docs, width, num, den, [id_col], text_col)
+    empty = rows.where("set_key IS NULL").select(id_col, "n_shingles", F.col(f"`{id_col}`").alias("component_id"))
+    full = _join_rows(rows.where("set_key IS NOT NULL"), sets.select("set_key", "n", F.col("first").getField(id_col).alias("component_id")), "set_key", "n", total)
+    return full.select(id_col, "n_shingles", "component_id").unionByName(empty)
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component of links: that of the smallest id, then set. All columns stay.
+    """One row of docs for each component of links: that of the smallest id, then text. All columns stay.
 
     A row goes only if its own component has a survivor, so rows that share an id but not a component stay; of rows equal in
-    id and text, one stays. Rows without an id can't be named by one and stay as they are.
+    id and text, one stays. Null and blank texts are linked with nothing. Rows without an id can't be named by one and stay as they are.
     """
     own = "jaccard_text_key"
     keyed = docs.withColumn(own, F.xxhash64(text_col))
-    found = _placed(keyed, width, num, den, [id_col, own], text_col).where(F.col(id_col).isNotNull())
-    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(id_col, "set_key", own)).alias("first"))
-    kept = first.select(f"first.{id_col}", f"first.{own}").unionByName(found.where("component IS NULL").select(id_col, own))
+    rows, sets, _ = _placed(keyed, width, num, den, [id_col, own], text_col)
+    first = sets.select("first").distinct()
+    kept = first.select(f"first.{id_col}", f"first.{own}").unionByName(rows.where("set_key IS NULL").select(id_col, own)).distinct()
     named = keyed.join(kept, [id_col, own], "left_semi").dropDuplicates([id_col, own]).select(docs.columns)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -157,7 +157,11 @@ def test_jaccard_components(spark, width, num, monkeypatch):
 
 
 def test_signatures_hold_the_bound():
-    """Any two sets at the threshold share as many signatures as the tags promise."""
+    """Any two sets at the threshold share as many signatures as the tags promise, for every number of differences."""
+    for k in range(400):
+        n1 = jaccard.n_groups(k)
+        worst = min(sum(comb(max(jaccard.N2 - d, 0), jaccard.KEPT) for d in split) for split in ([k // n1 + (i < k % n1) for i in range(n1)], [min(2, max(0, k - 2 * i)) for i in range(n1)]))
+        assert jaccard.COMMON < jaccard.intact(k, n1) <= worst
     rng, bands = np.random.default_rng(4), jaccard.Bands(85, 100)
     for n in (3, 7, 20, 60, 200, 700):
         for _ in range(20):
@@ -168,9 +172,47 @@ def test_signatures_hold_the_bound():
                 continue
             found = []
             for s in (a, b):
-                sig, _, tag = jaccard.signatures(np.zeros(len(s), np.int64), np.sort(s), np.array([len(s)]), np.array([1]), bands)
+                sig, owner, tag = jaccard.signatures(np.zeros(len(s), np.int64), np.sort(s), np.array([len(s)]), bands)
+                assert not owner.any()
                 found.append((set(sig.tolist()), tag.max() // 2))
-            assert len(found[0][0] & found[1][0]) >= max(jaccard.COMMON, min(f[1] for f in found))
+            assert len(found[0][0] & found[1][0]) >= jaccard.COMMON + min(f[1] for f in found)
+
+
+def test_signatures_are_of_subsets():
+    """A signature is that of a set with other elements in the partition that it leaves out, and of no other."""
+    rng, bands = np.random.default_rng(6), jaccard.Bands(85, 100)
+    s = np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64))
+    of = lambda x: jaccard.signatures(np.zeros(len(x), np.int64), np.sort(x), np.array([len(x)]), bands)[0]
+    both = len(set(of(s)) & set(of(np.append(s[1:], rng.integers(0, 2**64, 1, dtype=np.uint64)))))
+    # one element goes, one comes: each spoils the two subsets of three that hold its partition, in both bands' schemes
+    assert len(of(s)) - 8 <= both <= len(of(s)) - 4 or len(of(s)) > 200
+
+
+def test_jaccard_hot_signatures(spark, monkeypatch):
+    """Large groups that share many signatures, salted and not, against all pairs."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(60)] = word()
+            texts.append(" ".join(w))
+    passage = " ".join(word() for _ in range(80))
+    texts += [passage + " " + " ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    sets, root = brute_components(texts, 4, 85, 100)
+    df = docs(spark, texts)
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    plain = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert [plain[i] for i in range(len(texts))] == root
+    # every signature of the sample counts as hot
+    bands = jaccard.Bands(85, 100)
+    every = np.unique(np.concatenate([np.array([r.sig for r in jaccard._signed(df, 4, bands, "text", np.zeros(0, np.int64)).select("sig").collect()], np.int64)]))
+    monkeypatch.setattr(jaccard, "_hot_signatures", lambda *a: every[::2])
+    salted = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert salted == plain
 
 
 def test_jaccard_ids_and_stage(spark):
