@@ -295,6 +295,91 @@ def test_hamming_search(spark, radius, spare):
     assert got == {(i, j): d for i in range(0, len(fps), 5) for j in range(len(fps)) if (d := dist(fps[i], fps[j])) <= radius}
 
 
+def fingerprints_of_groups(seed, groups=6, each=40):
+    """(id, fp): groups of near and equal fingerprints, some far apart."""
+    rng = random.Random(seed)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    out = []
+    for _ in range(groups):
+        base = [rng.getrandbits(64) for _ in range(2)]
+        for _ in range(each):
+            x = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5, 8])):
+                x[rng.randrange(2)] ^= 1 << rng.randrange(64)
+            out.append([signed(v) for v in x])
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("radius,spare,place", [(3, 1, 1024), (6, 2, 1024), (6, 2, 4)])
+def test_hamming_neighbours(spark, radius, spare, place, monkeypatch):
+    monkeypatch.setattr(simhash, "PLACE", place)
+    monkeypatch.setattr(simhash, "SAMPLE", 2 if place == 4 else 64)  # keys of several places
+    data = fingerprints_of_groups(radius + place)
+    rows = spark.createDataFrame(data + [(None, data[0][1]), (999, None)], "id long, fp array<long>")
+    got = {tuple(r.fp): (r.n, r.first_id, r.nearest) for r in simhash.neighbours(rows.where("id % 5 = 0"), rows, radius, spare).collect()}
+    dist = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    for i, fp in data:
+        if i % 5 == 0:
+            near = [(j, dist(fp, other)) for j, other in data + [(None, data[0][1])] if dist(fp, other) <= radius]
+            assert got[tuple(fp)] == (len(near), min(j for j, _ in near if j is not None), min((d for _, d in near if d), default=None))
+    assert simhash.neighbours(rows.limit(0), rows).count() == 0
+
+
+def test_simhash_report_by_brute_force(spark):
+    """Likeness of whole fingerprints, and what the query set finds among all rows."""
+    texts = random_texts(60, 5, [f"w{i}" for i in range(40)])
+    texts += [texts[3] + " extra", texts[3], texts[20], None, ""]
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in simhash.report(df, radius=12, spare=2).collect()}
+    plain = spark.createDataFrame([(i, x or "", ((x or "")[: len(x or "") - len(x or "") // 2] + (texts[(i + 1) % len(texts)] or "")[: len(x or "") // 2])) for i, x in enumerate(texts)], "k long, t string, e string")
+    bits = {c: {r.k: "".join(f"{v & (2**64 - 1):064b}" for v in r.fp) for r in simhash.fingerprints(plain, ["k"], c).collect()} for c in "te"}
+    away = lambda a, b: sum(x != y for x, y in zip(a, b))
+    for i in range(len(texts)):
+        r, t = got[i], bits["t"][i]
+        assert r.fingerprint == f"{int(t, 2):032x}" and r.edited_fingerprint == f"{int(bits['e'][i], 2):032x}"
+        assert r.near_edited == 1 - away(t, bits["e"][i]) / 128 and r.near_next == 1 - away(t, bits["t"][(i + 1) % len(texts)]) / 128
+        near = [(j, d) for j, o in bits["t"].items() if (d := away(t, o)) <= 12]
+        expected = (len(near), min(near)[0], min((d for _, d in near if d), default=None)) if i % 20 == 0 else (None, None, None)
+        assert (r.n_within, r.first_within, r.nearest_within) == expected
+
+
+def test_buckets_of_far_and_crowded_ids(spark):
+    """One id far off, ids in one crowd, strings: no bucket of more than twice its size, and each next is the next."""
+    for ids, kind in (([*range(3000), 2**62], "long"), ([2**40 + i * i for i in range(3000)], "long"), ([f"id-{i:05d}" for i in range(3000)], "string")):
+        rng = random.Random(1)
+        data = [(i, f"text {k} {rng.random()}") for k, i in enumerate(ids)]
+        shuffled = data[:]
+        rng.shuffle(shuffled)
+        got = simhash.with_next(spark.createDataFrame(shuffled, f"doc_id {kind}, text string").repartition(5), per_bucket=100).where("NOT guard")
+        sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
+        assert max(sizes) <= 250 and sum(sizes) == len(data)
+        nxt = {r.id: r.next_text for r in got.select("id", "next_text").collect()}
+        assert all(nxt[i] == data[(k + 1) % len(data)][1] for k, (i, _) in enumerate(data))
+
+
+def test_hot_ids_in_simhash(spark):
+    """A third of the rows without an id and a third with one: their rows are spread, equal ones counted, all come back."""
+    rng = random.Random(4)
+    data = [(None, f"a{rng.randint(0, 300)} b") for _ in range(1000)] + [(77, f"c{rng.randint(0, 300)} d e") for _ in range(1000)] + [(200 + i, f"x{i} y z") for i in range(500)] + [(i, f"q{i}") for i in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    dealt = simhash.with_next(df, per_bucket=50).where("NOT guard")
+    assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) <= 150
+    got = simhash.compare(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+    # by the order that the docstring gives: id, hash of the text, text
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    for per in (50, 10_000):
+        marks = simhash.with_next(df, per_bucket=per).where("NOT guard").collect()
+        crowd = {i for i in (None, 77) if any(r.copies > 1 and r.id == i for r in marks)}
+        order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]] if r[0] in crowd else 0, r[1]))
+        expected = Counter((i, x, order[(k + 1) % len(order)][1]) for k, (i, x) in enumerate(order))
+        found = Counter()
+        for r in marks:
+            found[r.id, r.text, r.next_text] += 1
+            found[r.id, r.text, r.text] += r.copies - 1
+        assert +found == expected
+
+
 # --- secrets ---------------------------------------------------------------------------------------------
 
 
