@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import let, staged
+from termloom.llm.common import let, running, staged
 
 #: Fixed values of the contract: kind, pattern, group measured, least length of that group.
 BASE = (
@@ -22,13 +22,17 @@ BASE = (
 #: Cheap texts that a match needs; None: none is known, and a shorter pattern is tried instead.
 NEEDS = {"assign": r"[:=]", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 #: Weak parts of this engine's own: kind, pattern, part played. A weak identifier's name may have a prefix (aws_, DB_);
-#: a weak secret may follow = or : and end a sentence.
+#: a weak secret may follow = or : and end a sentence. A mail address says who logs in, capital hexadecimal digits may be a key, and a host
+#: with a port is an endpoint.
 WEAK = (
     ("weak_id", r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]*(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}", "id"),
     ("weak_secret", r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=_-]|\.[A-Za-z0-9+/=_-])", "secret"),
     ("weak_endpoint", r"(?i)(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", "endpoint"),
+    ("weak_mail", r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9@-])", "id"),
+    ("weak_key", r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}(?![A-Za-z0-9])", "secret"),
+    ("weak_host", r"(?<![A-Za-z0-9.@/_-])(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63}:[0-9]{2,5}(?![A-Za-z0-9:.])", "endpoint"),
 )
-WEAK_NEEDS = {"weak_id": r"[:=]", "weak_secret": r"[A-Za-z0-9+/]{24}", "weak_endpoint": r"://"}
+WEAK_NEEDS = {"weak_id": r"[:=]", "weak_secret": r"[A-Za-z0-9+/]{24}", "weak_endpoint": r"://", "weak_mail": r"@", "weak_key": r"[0-9A-F]{32}", "weak_host": r"\.[A-Za-z0-9-]{1,63}:[0-9]{2}"}
 KINDS = [k[0] for k in BASE] + [k[0] for k in WEAK]
 #: The part that a strong candidate plays.
 PLAYS = {"assign": "secret", "access": "id", "hex": "secret"} | {k: part for k, _, part in WEAK}
@@ -42,18 +46,15 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
     sizes = lambda xs: F.transform(xs, lambda x: F.length(x))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(sizes(F.split(text, pattern, -1)).alias("gap"), sizes(whole).alias("own"), sizes(measured).alias("part"))
     # the last gap has no match after it
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    rows = F.filter(F.arrays_zip(sizes(F.split(text, pattern, -1)).alias("gap"), sizes(whole).alias("own"), sizes(measured).alias("part")), lambda r: r["own"].isNotNull())
 
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["gap"]
-        end = start + r["own"]
-        span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))).cast(SPANS)
-        return F.struct(end.alias("at"), F.when(r["part"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(rs: Column) -> Column:
+        before = running(F.transform(rs, lambda r: r["gap"] + r["own"]), lambda a, b: a + b)
+        every = F.zip_with(rs, before, lambda r, at: F.struct((at + r["gap"]).cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (at + r["gap"] + r["own"]).cast("int").alias("end"), (r["part"] >= least).alias("ok")))
+        return F.transform(F.filter(every, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))).cast(SPANS)
 
-    found = let(rows, lambda rs: F.aggregate(F.filter(rs, lambda r: r["own"].isNotNull()), empty, step, lambda acc: acc["out"]))
-    return F.when(text.rlike(need) & text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(need) & text.rlike(pattern), let(rows, spans)).otherwise(F.array().cast(SPANS))
 
 
 def spell(spans: Column) -> Column:
@@ -122,11 +123,11 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
     """docs with secret_base and secret_spans.
 
     A null or empty text has none. Rows stay one to one, repeated ones and null ids included; columns other
-    than text_col pass through, and the names secret_* are this operator's own. Links are staged, so texts are
-    searched twice but never shuffled, but for those of linkable rows.
+    than text_col pass through, and the names secret_* are this operator's own. Texts are searched once: the rows are
+    staged with what was found, and shuffled no more but for those of linkable rows.
     """
-    linked = staged(links(find(docs.select(text_col), text_col), scope), "secret-links")
-    return resolve(find(docs, text_col), linked)
+    found = staged(find(docs, text_col), "secret-found")
+    return resolve(found, links(found, scope))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -137,16 +138,33 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     return out.select("doc_id", *(count(k[0]) for k in BASE), F.sha2(spell(F.col("secret_base")).cast("binary"), 256).alias("base_sha256"), spell(F.col("secret_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of text_col replaced by mask; overlapping spans are replaced as one."""
-    t = F.col(f"`{text_col}`")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+#: Code points of a piece in which spans are cut out of a text.
+PIECE = 4096
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with every one of its spans (sorted by start) replaced by mask, overlapping ones as one. Text is read in pieces and joined
+    once, so a text of many spans costs no more than its length and their number."""
+
+    def of(ps: Column, reach: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """The text from a to b: the end of one piece, whole ones, the beginning of another."""
+            i, j = (a / PIECE).cast("int"), (b / PIECE).cast("int")
+            here = F.substring(F.get(ps, i), a % PIECE + 1, b - a)
+            ends = F.concat(F.substring(F.get(ps, i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(ps, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(ps, j), F.lit(1), b % PIECE), F.lit("")))
+            return F.when(b <= a, "").when(i == j, here).otherwise(ends)
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        # a span that begins before what is masked already only carries the mask on
+        cut = F.zip_with(spans, reach, lambda s, r: F.when(s["start"] < r, "").otherwise(F.concat(between(r, s["start"]), F.lit(mask))))
+        last = F.greatest(F.element_at(reach, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(cut, ""), between(last, F.length(text)))
 
-    last = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-    done = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", zero, step, last)).otherwise(t)
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    whole = let(pieces, lambda ps: let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda reach: of(ps, reach)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """docs with every reported span of text_col replaced by mask; overlapping spans are replaced as one. Null and empty texts stay."""
+    done = masked(F.col(f"`{text_col}`"), F.col("secret_spans"), mask)
     return scan(docs, text_col).withColumn(text_col, done).drop("secret_base", "secret_spans")

@@ -431,6 +431,62 @@ def test_secrets_of_credential_files(spark):
     assert long not in {r.doc_id: r.text for r in secrets.redact(docs(spark, [cases[0][0]])).collect()}[0]
 
 
+def test_secrets_mail_key_host(spark):
+    """Weak parts that plain prose has: each is reported only beside what complements it."""
+    token, key = 'token = "04dbebab91ab85687d33"', "9A9ECF0C1B9FE2B3B9BC9E9B00A1C2D3"
+    cases = [
+        (f"écris à hein.19@mail5.example.com, {token} fin", ["weak_mail:hein.19@mail5.example.com", 'assign:token = "04dbebab91ab85687d33']),
+        (f'Ask best.54@mail3.example.com. "{key}"!!', ["weak_mail:best.54@mail3.example.com", f"weak_key:{key}"]),
+        (f"user: bobby uses {key} on db.example.org:5432 now", ["weak_id:user: bobby", f"weak_key:{key}", "weak_host:db.example.org:5432"]),
+        ("nobody@example.com alone, db.example.org:5432 too", []),
+        (f"{key} alone and db.example.org:80", []),
+        ("mail a@b.example.com " + "x " * 300 + token, ['assign:token = "04dbebab91ab85687d33']),
+    ]
+    got = {r.doc_id: r for r in secrets.digest(docs(spark, [x for x, _ in cases])).collect()}
+    for i, (x, expected) in enumerate(cases):
+        spans = [(kind, x.index(what), x.index(what) + len(what)) for kind, _, what in (e.partition(":") for e in expected)]
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans), x
+
+
+def test_linked_spans_in_the_tables(spark):
+    """The registered query reports weak spans of the driver's documents, by a plain search for mail addresses near tokens."""
+    sf = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text LIKE '%@%'").collect()}
+    near = set()
+    for i, x in texts.items():
+        tokens, mails = [m.span() for m in re.finditer('(?i)token = "[0-9a-f]+', x)], [m.span() for m in re.finditer("[a-z]+[.][0-9]+@[a-z0-9.]+[a-z]", x)]
+        if any(a < d + secrets.SCOPE and c < b + secrets.SCOPE for a, b in tokens for c, d in mails):
+            near.add(i)
+    got = {r.doc_id: r.spans for r in queries.op6_secret_links(spark, sf).where("spans LIKE '%weak_mail%'").collect()}
+    assert len(near) > 10 and near <= set(got)
+
+
+def test_masking_long_texts(spark, monkeypatch):
+    """Pieces of any size give what cutting by hand gives; spans overlap, touch, lie at the ends."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(120):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.randint(1, 60)))
+        spans = sorted((a, 0, min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6))))
+        hidden = {k for a, _, b in spans for k in range(a, b)}
+        plain, k = [], 0
+        starts = {a for a, _, _ in spans}
+        while k < len(text):
+            if k in hidden:
+                plain.append("#")
+                k += 1
+                while k in hidden and not (k in starts and not any(a < k < b for a, _, b in spans)):
+                    k += 1
+            else:
+                plain.append(text[k])
+                k += 1
+        rows.append((text, spans, "".join(plain)))
+    df = spark.createDataFrame(rows, f"t string, s {secrets.SPANS}, e string")
+    for piece in (1, 3, 7, 4096):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        assert df.select(secrets.masked(F.col("t"), F.col("s"), "#").alias("got"), "e").where("got <> e OR got IS NULL").count() == 0
+
+
 # --- quality rules ---------------------------------------------------------------------------------------
 
 
