@@ -21,8 +21,9 @@ from termloom.llm.common import held_out, labelled_sample, slices
 BUCKETS = 1 << 17
 CHAR_SIZES = (3, 4)
 _PAIR, _WORD, _AGAIN = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
-#: A bucket is learned if this many documents of the sample have it.
-LEAST_DOCS = 4
+#: Bounds of fitting, and of nothing else: labelled documents in the sample, characters of one, documents of the sample that a bucket
+#: needs to be learned (others keep the vector zero: they are read, and say nothing).
+ROWS, MAX_CHARS, LEAST_DOCS = 4000, 20_000, 4
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -63,10 +64,11 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 400, batch: int = 48, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 400, batch: int = 48, rate: float = 0.5, seed: int = 7, least_docs: int = LEAST_DOCS) -> Model:
     """Stochastic gradient descent on the softmax's log loss, for a fixed number of steps.
 
-    prior is class 1's share of all labels; a sample with other shares is weighted to it. Without both classes: the prior alone."""
+    prior is class 1's share of all labels; a sample with other shares is weighted to it. Without both classes: the prior alone. Buckets
+    that fewer than least_docs texts have stay zero, so that no single text is learned by heart; 1 learns all."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
@@ -77,7 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps:
         for d in np.split(bucket[np.argsort(doc, kind="stable")], np.cumsum(np.bincount(doc, minlength=n))[:-1]):
             ids, count = np.unique(d, return_counts=True)
             rows.append((ids, (count / max(1, len(d))).astype(np.float32)))
-    common = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=BUCKETS) >= LEAST_DOCS
+    common = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=BUCKETS) >= least_docs
     rows = [(ids[common[ids]], share[common[ids]]) for ids, share in rows]
     vectors = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     vectors[~common] = 0
@@ -108,13 +110,14 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps:
     return Model((vectors @ towards).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample_rows: int = 4000, max_chars: int = 20_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample_rows: int = ROWS, max_chars: int = MAX_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...), by a model fitted on labels.
 
-    The sample for fitting is bounded by sample_rows and max_chars; scoring covers every whole text. Null and
-    empty texts get the prior's score. Rows stay one to one; other columns aren't read.
+    The sample for fitting is bounded by sample_rows and max_chars, and what is learned from it by least_docs; scoring covers every
+    whole text. Null and empty texts get the prior's score. Rows stay one to one, whether doc_ids repeat or are null; other columns
+    aren't read. An empty table gives an empty one.
     """
-    model = fit(*labelled_sample(docs, labels, label, sample_rows, max_chars))
+    model = fit(*labelled_sample(docs, labels, label, sample_rows, max_chars), least_docs=least_docs)
     return apply_model(docs, model, threshold)
 
 

@@ -22,7 +22,7 @@ from termloom.llm.quality import apply_model, keep_below
 WINDOW, STRIDE = 24, 12
 BUCKETS, DIM, HIDDEN = 1 << 16, 8, 8
 CHAR_SIZES = (3, 5)
-#: Labelled documents, and characters of one, in the sample for fitting; windows of a document in one step.
+#: Bounds of fitting, and of nothing else: labelled documents in the sample, characters of one, windows of one in a training step.
 ROWS, MAX_CHARS, STEP_WINDOWS = 12_000, 20_000, 96
 
 
@@ -77,7 +77,8 @@ class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-        self.p = {"word": normal(BUCKETS, DIM, scale=0.1), "gram": normal(BUCKETS, DIM, scale=0.1)}
+        # vectors begin at zero, so that words never seen in training say nothing
+        self.p = {"word": np.zeros((BUCKETS, DIM), np.float32), "gram": np.zeros((BUCKETS, DIM), np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": normal(DIM, 3 * HIDDEN, scale=0.5), f"u{d}": normal(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": normal(2 * HIDDEN, scale=0.3), "o": normal(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32)}
@@ -179,8 +180,15 @@ class Network:
         return _sigmoid(np.where(np.isinf(worst), np.float32(self.prior), worst).astype(np.float64))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = 1000, batch: int = 24, rate: float = 0.01, seed: int = 11) -> Network:
-    """Adam on the documents' log loss for a fixed number of steps; prior is class 1's share of all labels. Without both classes: the prior alone."""
+def fit(
+    texts: list[str], labels: np.ndarray, prior: float, steps: int = 1000, batch: int = 24, rate: float = 0.01, seed: int = 11,
+    step_windows: int = STEP_WINDOWS, dropout: float = 0.1, decay: float = 0.5,
+) -> Network:
+    """Adam on the documents' log loss for a fixed number of steps; prior is class 1's share of all labels. Without both classes: the prior alone.
+
+    A step reads `batch` documents, of one with more than step_windows windows that many, drawn anew each time (a bound of the
+    training sample; scoring reads all). Against learning rare words by heart, a share `dropout` of a step's words is blanked and the
+    vectors shrink by rate * decay a step."""
     net, rng = Network(seed), np.random.default_rng(seed)
     net.prior = float(np.log(prior / (1 - prior)))
     net.p["bias"][0] = net.prior
@@ -194,8 +202,9 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = 1000, b
         n_one = max(1, batch // 3)
         pick = np.concatenate([rng.choice(sides[1], n_one), rng.choice(sides[0], batch - n_one)])
         x = read(pa.array([texts[i] for i in pick], pa.string()))
-        chosen = np.concatenate([w if len(w) <= STEP_WINDOWS else rng.choice(w, STEP_WINDOWS, replace=False) for w in np.split(np.arange(len(x.doc)), np.cumsum(np.bincount(x.doc, minlength=x.n_docs))[:-1])]).astype(np.int64)
+        chosen = np.concatenate([w if len(w) <= step_windows else rng.choice(w, step_windows, replace=False) for w in np.split(np.arange(len(x.doc)), np.cumsum(np.bincount(x.doc, minlength=x.n_docs))[:-1])]).astype(np.int64)
         window, doc = x.window[chosen], x.doc[chosen]
+        window = np.where(rng.random(window.shape) < dropout, -1, window)
         out, saved = net.forward(x, window, True)
         top = np.full(len(pick), -np.inf)
         np.maximum.at(top, doc, out)
@@ -211,18 +220,21 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = 1000, b
             mean[k] += 0.1 * (g - mean[k])
             square[k] += 0.01 * (g * g - square[k])
             net.p[k] -= (now * mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            if k in ("word", "gram"):
+                net.p[k] *= np.float32(1 - now * decay)
     return net
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample_rows: int = ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample_rows: int = ROWS, max_chars: int = MAX_CHARS, step_windows: int = STEP_WINDOWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...), by a network fitted on labels.
 
-    The sample for fitting is bounded by sample_rows and max_chars; scoring covers every window of every whole
-    text. Null and blank texts get the prior's score. Rows stay one to one; other columns aren't read.
+    The sample for fitting is bounded by sample_rows and max_chars, and a training step by step_windows; scoring covers every
+    window of every whole text. Null and blank texts get the prior's score. Rows stay one to one, whether doc_ids repeat or are null;
+    other columns aren't read. An empty table gives an empty one.
     """
-    return apply_model(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars)), threshold)
+    return apply_model(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars), step_windows=step_windows), threshold)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample_rows: int = ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
-    return keep_below(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars)), threshold)
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample_rows: int = ROWS, max_chars: int = MAX_CHARS, step_windows: int = STEP_WINDOWS) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns. Null and blank texts stay while the prior is below it."""
+    return keep_below(docs, fit(*labelled_sample(docs, labels, label, sample_rows, max_chars), step_windows=step_windows), threshold)
