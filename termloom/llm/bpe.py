@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from termloom.llm.common import slices
+
 #: Entries that each worker keeps of pieces, and of pairs of tokens, before it starts anew.
 PIECES, PAIRS = 500_000, 1_000_000
 
@@ -178,17 +180,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
         own = codec(ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start, texts in slices(batch.column(1)):
                 n, enc, dec, lists = [], [], [], []
-                for text in part.column(1):
+                for text in texts:
                     csv = own.encode_csv(text.as_py() or "")
                     n.append(csv.count(",") + 1 if csv else 0)
                     enc.append(sha(csv.encode()))
                     dec.append(sha(own.decode_csv(csv)))
                     if ids:
                         lists.append(list(map(int, csv.split(","))) if csv else [])
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
+                cols = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
                     cols.append(pa.array(lists, pa.list_(pa.int32())))
