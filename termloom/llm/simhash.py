@@ -79,17 +79,27 @@ def likeness(a: Column, b: Column) -> Column:
 PLACE, SAMPLE = 1024, 64
 
 
-def _entries(df: DataFrame, fp: str, radius: int, spare: int) -> DataFrame:
-    """df with an entry (table, key) for each choice of `spare` of the radius + spare blocks of the fingerprint."""
-    n = radius + spare
+def _blocks(fp: Column, n: int) -> list[Column]:
+    """The n blocks of a fingerprint as numbers, from the upper bits on."""
     cuts = [BITS * k // n for k in range(n + 1)]
-    spelled = F.array_join(F.transform(F.col(fp), lambda x: F.lpad(F.bin(x), 64, "0")), "")
+    out = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        parts = []
+        for half in range(lo // 64, (hi - 1) // 64 + 1):
+            a, b = max(lo - 64 * half, 0), min(hi - 64 * half, 64)
+            bits = F.shiftrightunsigned(F.get(fp, F.lit(half)), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+            parts.append(bits)
+        out.append(parts)
+    return [p[0] if len(p) == 1 else F.xxhash64(*p) for p in out]
 
-    def of(bits: Column) -> Column:
-        blocks = [F.substring(bits, cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(n)]
-        return F.array(*(F.struct(F.lit(t).alias("table"), F.xxhash64(*(blocks[k] for k in table)).alias("key")) for t, table in enumerate(combinations(range(n), spare))))
 
-    return df.withColumn("entry", F.explode(let(spelled, of))).select(*df.columns, "entry.*")
+def _entries(df: DataFrame, fp: str, radius: int, spare: int) -> DataFrame:
+    """df with an entry (table, key) for each choice of `spare` of the radius + spare blocks of the fingerprint."""
+    n = radius + spare
+    kept, named = df.columns, df.select("*", *(b.alias(f"block_{k}") for k, b in enumerate(_blocks(F.col(fp), n))))
+    tables = combinations(range(n), spare)
+    entry = F.array(*(F.struct(F.lit(t).alias("table"), F.xxhash64(*(f"block_{k}" for k in table)).alias("key")) for t, table in enumerate(tables)))
+    return named.select(*kept, F.explode(entry).alias("entry")).select(*kept, "entry.*")
 
 
 def _first_table(a: Column, b: Column, radius: int, spare: int) -> Column:
@@ -200,14 +210,14 @@ def _bucket(cuts: list[str], kind: str, value: Column) -> Column:
     return let(upto(tops), inner)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 1000) -> DataFrame:
-    """(bucket, n, id, text, copies, next_text, guard): each row with the text of the next, ascending id; after the last, the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 1000) -> tuple[DataFrame, bool]:
+    """Rows (bucket, n, id, text, copies, next_text, guard): each row with the text of the next, ascending id; after the last, the first.
 
     Equal ids go by a hash of the text, then the text; null ids come last; a null text counts as empty. ids may have any type that has an
     order. Rows are dealt out whole by buckets of about per_bucket rows (BUCKETS at most), cut at sampled quantiles of the id, so texts
     are shuffled once and no stretch of ids, however crowded, comes to one task. An id that fills several buckets (or no id) is cut by
     the text's hash instead, its equal rows counted in `copies`: all but the last of them have themselves as next. The first
-    row of a bucket also stands as a guard at the end of the bucket before it.
+    row of a bucket also stands as a guard at the end of the bucket before it. And whether any `copies` may be above 1.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -238,16 +248,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
     heads = rows.select(bucket.alias("bucket"), order.alias("ord")).groupBy("bucket").agg(F.min("ord").alias("first"))
     by_place = Window.orderBy("first")
-    heads = heads.select("bucket", "first", F.lag("bucket").over(by_place).alias("before"), F.max_by("bucket", "first").over(Window.partitionBy()).alias("last"))
-    heads = heads.select("bucket", "first", F.coalesce("before", "last").alias("prior"), F.col("before").isNull().alias("wraps"))
+    heads = heads.select(F.col("bucket").alias("place"), "first", F.row_number().over(by_place).alias("bucket"), F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("last"))
+    heads = heads.select("place", "first", "bucket", F.when(F.col("bucket") > 1, F.col("bucket") - 1).otherwise(F.col("last")).alias("prior"), (F.col("bucket") == 1).alias("wraps"))
     # no more rows than buckets
-    placed = rows.withColumn("bucket", bucket).withColumn("ord", order).join(F.broadcast(heads), "bucket")
+    placed = rows.withColumn("place", bucket).withColumn("ord", order).join(F.broadcast(heads), "place")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guard"), F.lit(False).alias("after"))
     guard = F.struct(F.col("prior").alias("bucket"), F.lit(True).alias("guard"), F.col("wraps").alias("after"))
     places = F.when(F.col("ord") == F.col("first"), F.array(own, guard)).otherwise(F.array(own))
     dealt = placed.select("id", "ord", "text", "copies", F.explode(places).alias("p")).select("id", "ord", "text", "copies", "p.*")
     w = Window.partitionBy("bucket").orderBy("after", "guard", "ord", "text")
-    return dealt.withColumn("n", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("ord", "after")
+    return dealt.withColumn("n", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("ord", "after"), bool(hot or null_hot)
 
 
 def edited(text: Column, nxt: Column) -> Column:
@@ -262,23 +272,27 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null text counts as empty; texts without words have the fingerprint zero. Rows stay one to one: those that repeat an id go
     by their texts, and an equal one's next is its like.
     """
-    rows = with_next(docs, id_col, text_col)
-    rows = rows.withColumn("edited", F.when(~F.col("guard"), edited(F.col("text"), F.col("next_text")))).withColumn("twice", F.when(~F.col("guard") & (F.col("copies") > 1), edited(F.col("text"), F.col("text"))))
-    keys = ["bucket", "n", "guard", "id", "n_chars", "copies", "sha", "sha_twice"]
+    rows, crowded = with_next(docs, id_col, text_col)
+    rows = rows.withColumn("edited", F.when(~F.col("guard"), edited(F.col("text"), F.col("next_text"))))
+    keys, forms = ["bucket", "n", "guard", "id", "n_chars", "sha"], ["text", "edited"]
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("sha", sha("edited")).withColumn("sha_twice", sha("twice"))
-    forms = F.filter(F.array(*(F.struct(F.lit(k).alias("which"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited", "twice")))), lambda x: x["t"].isNotNull())
-    each = rows.select(*keys, F.explode(forms).alias("x")).select(*keys, "x.which", "x.t")
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("sha", sha("edited"))
+    if crowded:
+        rows = rows.withColumn("twice", F.when(~F.col("guard") & (F.col("copies") > 1), edited(F.col("text"), F.col("text")))).withColumn("sha_twice", sha("twice"))
+        keys, forms = [*keys, "copies", "sha_twice"], [*forms, "twice"]
+    every = F.filter(F.array(*(F.struct(F.lit(k).alias("which"), F.col(c).alias("t")) for k, c in enumerate(forms))), lambda x: x["t"].isNotNull())
+    each = rows.select(*keys, F.explode(every).alias("x")).select(*keys, "x.which", "x.t")
     marks = fingerprints(each, [*keys, "which"], "t")
     of = lambda k, name: F.max(F.when(F.col("which") == k, F.col("fp"))).alias(name)
     both = marks.groupBy(*keys).agg(of(0, "fp"), of(1, "efp"), of(2, "tfp"))
     w = Window.partitionBy("bucket").orderBy("n")
     out = both.withColumn("next_fp", F.lead("fp").over(w)).where("NOT guard")
-    shown = lambda sha, efp, nxt, times: F.struct(F.col(sha).alias("edited_sha256"), F.col(efp).alias("efp"), F.col(nxt).alias("next_fp"), times.alias("times"))
-    kinds = F.when(F.col("copies") > 1, F.array(shown("sha", "efp", "next_fp", F.lit(1).cast("long")), shown("sha_twice", "tfp", "fp", F.col("copies") - 1))).otherwise(F.array(shown("sha", "efp", "next_fp", F.lit(1).cast("long"))))
-    out = out.select("id", "n_chars", "fp", F.explode(kinds).alias("k")).select("id", "n_chars", "fp", "k.*")
-    out = repeated(out, "times", "copy")
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fp", "efp", likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    if crowded:
+        out = staged(out, "crowded")
+        shown = lambda sha, efp, nxt, times: F.struct(F.col(sha).alias("sha"), F.col(efp).alias("efp"), F.col(nxt).alias("next_fp"), times.alias("times"))
+        kinds = F.filter(F.array(shown("sha", "efp", "next_fp", F.lit(1).cast("long")), shown("sha_twice", "tfp", "fp", F.col("copies") - 1)), lambda x: x["times"] > 0)
+        out = repeated(out.select("id", "n_chars", "fp", F.explode(kinds).alias("k")).select("id", "n_chars", "fp", "k.*"), "times", "copy")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), "fp", "efp", likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
 def compare(docs: DataFrame) -> DataFrame:

@@ -398,7 +398,7 @@ def test_buckets_of_far_and_crowded_ids(spark):
         data = [(i, f"text {k} {rng.random()}") for k, i in enumerate(ids)]
         shuffled = data[:]
         rng.shuffle(shuffled)
-        got = simhash.with_next(spark.createDataFrame(shuffled, f"doc_id {kind}, text string").repartition(5), per_bucket=100).where("NOT guard")
+        got = simhash.with_next(spark.createDataFrame(shuffled, f"doc_id {kind}, text string").repartition(5), per_bucket=100)[0].where("NOT guard")
         sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
         assert max(sizes) <= 250 and sum(sizes) == len(data)
         nxt = {r.id: r.next_text for r in got.select("id", "next_text").collect()}
@@ -410,14 +410,14 @@ def test_hot_ids_in_simhash(spark):
     rng = random.Random(4)
     data = [(None, f"a{rng.randint(0, 300)} b") for _ in range(1000)] + [(77, f"c{rng.randint(0, 300)} d e") for _ in range(1000)] + [(200 + i, f"x{i} y z") for i in range(500)] + [(i, f"q{i}") for i in range(50)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    dealt = simhash.with_next(df, per_bucket=50).where("NOT guard")
+    dealt = simhash.with_next(df, per_bucket=50)[0].where("NOT guard")
     assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) <= 150
     got = simhash.compare(df).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
     # by the order that the docstring gives: id, hash of the text, text
     h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
     for per in (50, 10_000):
-        marks = simhash.with_next(df, per_bucket=per).where("NOT guard").collect()
+        marks = simhash.with_next(df, per_bucket=per)[0].where("NOT guard").collect()
         crowd = {i for i in (None, 77) if any(r.copies > 1 and r.id == i for r in marks)}
         order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]] if r[0] in crowd else 0, r[1]))
         expected = Counter((i, x, order[(k + 1) % len(order)][1]) for k, (i, x) in enumerate(order))
