@@ -247,56 +247,60 @@ def _hot_signatures(docs: DataFrame, width: int, bands: Bands, text_col: str) ->
 def _met(signed: DataFrame) -> DataFrame:
     """(a, b, tag) from signed rows: for signatures of up to HOT sets each pair of their sets (a > b; tag null), for hot and salted
     ones each row (a: the signature, b: the set). Rows of a signature pass one task in order and aren't held."""
-    dealt = signed.repartition("sig", F.col("tag") % (2 * SALTS)).sortWithinPartitions("sig", F.col("tag") % (2 * SALTS), "key")
+    dealt = signed.repartition("sig", F.col("tag") % (2 * SALTS)).sortWithinPartitions("sig")
+
+    def whole(sig: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(tag.astype(np.int32))], ["a", "b", "tag"])
+
+    def told(sig: np.ndarray, key: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups; equal keys within one, from tasks that signed the same set, count once. Signatures of one set tell nothing."""
+        edge = np.ones(len(sig) + 1, bool)
+        edge[1:-1] = sig[1:] != sig[:-1]
+        shared = ~(edge[:-1] & edge[1:])
+        sig, key, tag = sig[shared], key[shared], tag[shared]
+        order = np.lexsort((key, sig))
+        sig, key, tag = sig[order], key[order], tag[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, tag = sig[new], key[new], tag[new]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(sig)))
+        many = np.repeat(size > HOT, size)
+        if many.any():
+            yield whole(sig[many], key[many], tag[many])
+        few = np.repeat((size > 1) & (size <= HOT), size)
+        sig, key = sig[few], key[few]
+        left, right = [], []
+        for d in range(1, HOT):
+            same = np.flatnonzero(sig[d:] == sig[:-d]) if len(sig) > d else np.zeros(0, np.int64)
+            if not len(same):
+                break
+            left.append(key[same + d])
+            right.append(key[same])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], ["a", "b", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        open_hot = None
-
-        def told(sig: np.ndarray, key: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Whole groups; equal keys within one, from tasks that signed the same set, count once."""
-            salt = tag % (2 * SALTS)
-            again = np.zeros(len(sig), bool)
-            again[1:] = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1]) & (key[1:] == key[:-1])
-            sig, key, tag, salt = (x[~again] for x in (sig, key, tag, salt))
-            edge = np.ones(len(sig), bool)
-            edge[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-            first = np.flatnonzero(edge)
-            size = np.diff(np.append(first, len(sig)))
-            many = np.repeat(size > HOT, size) | (salt > 0)
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(key[many]), pa.array(tag[many].astype(np.int32))], ["a", "b", "tag"])
-            few = np.repeat((size > 1) & (size <= HOT), size) & (salt == 0)
-            sig, key = sig[few], key[few]
-            left, right = [], []
-            for d in range(1, HOT):
-                same = np.flatnonzero(sig[d:] == sig[:-d]) if len(sig) > d else np.zeros(0, np.int64)
-                if not len(same):
-                    break
-                left.append(key[same + d])
-                right.append(key[same])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], ["a", "b", "tag"])
-
+        held, open_hot = [np.zeros(0, np.int64)] * 3, None
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            # salted signatures, and what goes on with the hot group that the last batch ended in
+            at_once = new[2] % (2 * SALTS) > 0
             if open_hot is not None:
-                # what goes on with the hot group that the last batch ended in
-                on = (new[0] == open_hot[0]) & (new[2] % (2 * SALTS) == open_hot[1])
-                if on.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(new[0][on]), pa.array(new[1][on]), pa.array(new[2][on].astype(np.int32))], ["a", "b", "tag"])
-                if on.all():
-                    continue
-                open_hot, new = None, [x[~on] for x in new]
+                at_once |= new[0] == open_hot
+            if at_once.any():
+                yield whole(*(x[at_once] for x in new))
+                new = [x[~at_once] for x in new]
+            if not len(new[0]):
+                continue
+            open_hot = None
             held = [np.concatenate([h, x]) for h, x in zip(held, new)]
-            salt = held[2] % (2 * SALTS)
-            last = (held[0] == held[0][-1]) & (salt == salt[-1])
-            done = [x[~last] for x in held]
-            yield from told(*done)
+            last = held[0] == held[0][-1]
+            yield from told(*(x[~last] for x in held))
             held = [x[last] for x in held]
-            if len(np.unique(held[1])) > HOT:
-                open_hot = (held[0][0], salt[-1])
+            if len(held[0]) > HOT and len(np.unique(held[1])) > HOT:
+                open_hot = held[0][0]
                 yield from told(*held)
                 held = [x[:0] for x in held]
         if len(held[0]):
@@ -425,7 +429,8 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b), of any type that has an order: the smallest node of each connected component.
 
-    Alternates large and small star steps over staged edges until nothing moves; hubs are joined, never collected.
+    Alternates large and small star steps over staged edges until nothing moves; the edges of hubs stay where they are, and what they need
+    is broadcast to them.
     """
 
     def step(df: DataFrame) -> tuple[DataFrame, dict]:
@@ -437,8 +442,8 @@ def components(edges: DataFrame) -> DataFrame:
     now, state = step(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state["n"]:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = _join_rows(both, low, "u", "degree", 2 * state["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         paired = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         hops = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         after, moved = step(paired.select(F.explode(hops).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
@@ -471,7 +476,7 @@ def _placed(docs: DataFrame, width: int, num: int, den: int, ids: list[str], tex
     # where a signature isn't hot its sets are few: pairs of them are counted
     often = met.where("tag IS NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("a", "b")
     # a set with too many hot signatures may share too few others with a partner, which then has too many as well
-    hot = met.where("tag IS NOT NULL").select(F.col("a").alias("sig"), F.col("b").alias("key"), (F.col("tag") / (2 * SALTS)).cast("int").alias("tag"), (F.col("tag") % (2 * SALTS)).alias("salt"))
+    hot = met.where("tag IS NOT NULL").select(F.col("a").alias("sig"), F.col("b").alias("key"), (F.col("tag") / (2 * SALTS)).cast("int").alias("tag"), (F.col("tag") % (2 * SALTS)).alias("salt")).distinct()
     full = hot.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > F.shiftright("tag", 1)).select("key").distinct()
     tied = hot.join(full, "key", "left_semi").select("sig", "salt", "key").distinct()
     pivots = tied.groupBy("sig", "salt").agg(F.min("key").alias("pivot"))
