@@ -103,7 +103,7 @@ def validate_raw(spark, sf_dir):
     return raw.violations(rows, ("drug_code", "drug_name"))
 
 
-@query()
+@query(RAW_SQL + "SELECT ingredient_it, ingredient_en, entity_type, array_to_string(synonyms_it, ',') AS synonyms_it, array_to_string(synonyms_en, ',') AS synonyms_en FROM syn")
 def scan_synonyms(spark, sf_dir):
     """The synonym rows written as one JSON array and scanned back."""
     path = f"{shared_dir(spark)}/raw-synonyms-{id(object())}"
@@ -112,7 +112,7 @@ def scan_synonyms(spark, sf_dir):
     return raw.read_synonyms(spark, path).drop("seq").select("ingredient_it", "ingredient_en", "entity_type", joined("synonyms_it").alias("synonyms_it"), joined("synonyms_en").alias("synonyms_en"))
 
 
-@query()
+@query(RAW_SQL + "SELECT drug_code, drug_name, atc, array_to_string(compositions, ',') AS compositions, array_to_string(excipients, ',') AS excipients FROM drug")
 def scan_drugs(spark, sf_dir):
     """The drug rows written as CSV and scanned back."""
     path = f"{shared_dir(spark)}/raw-drugs-{id(object())}"
@@ -223,9 +223,29 @@ def build_kb(spark, sf_dir):
     return fixture.build(spark, sf_dir).report
 
 
-@query(KB_SQL + "SELECT unnest(['concept_blank', 'concept_prefix', 'alias_blank', 'alias_priority', 'product_blank', 'product_prefix', 'brand_blank', 'brand_prefix']) AS rule, CAST(0 AS BIGINT) AS violations")
+@query(KB_SQL + """,
+    bad_c AS (SELECT CASE WHEN length(canonical_it) % 3 = 0 THEN 'x' || concept_id ELSE concept_id END AS concept_id, entity_type, CASE WHEN length(canonical_it) % 7 = 0 THEN ' ' ELSE canonical_it END AS canonical_it FROM concepts),
+    bad_a AS (SELECT CASE WHEN length(alias_raw) % 9 = 0 THEN '' ELSE target_id END AS target_id, alias_raw, alias_normalized, priority + CASE WHEN length(alias_raw) % 4 = 0 THEN 50 ELSE 0 END AS priority FROM aliases),
+    bad_p AS (SELECT CASE WHEN drug_code LIKE '%7' THEN drug_code ELSE product_id END AS product_id, CASE WHEN drug_code LIKE '%3' THEN NULL ELSE drug_code END AS drug_code, drug_name FROM products),
+    bad_b AS (SELECT CASE WHEN length(brand_name) % 5 = 0 THEN brand_name ELSE brand_id END AS brand_id, CASE WHEN length(brand_name) % 6 = 0 THEN '' ELSE brand_name END AS brand_name FROM brands)
+    SELECT 'concept_blank' AS rule, count(*) FILTER (trim(concept_id) = '' OR trim(canonical_it) = '') AS violations FROM bad_c
+    UNION ALL SELECT 'concept_prefix', count(*) FILTER (NOT starts_with(concept_id, replace(entity_type, '/', '_') || ':')) FROM bad_c
+    UNION ALL SELECT 'alias_blank', count(*) FILTER (trim(alias_raw) = '' OR trim(alias_normalized) = '' OR trim(target_id) = '') FROM bad_a
+    UNION ALL SELECT 'alias_priority', count(*) FILTER (priority NOT BETWEEN 0 AND 100) FROM bad_a
+    UNION ALL SELECT 'product_blank', count(*) FILTER (coalesce(trim(drug_code), '') = '' OR trim(drug_name) = '') FROM bad_p
+    UNION ALL SELECT 'product_prefix', count(*) FILTER (NOT starts_with(product_id, 'drug:aic:')) FROM bad_p
+    UNION ALL SELECT 'brand_blank', count(*) FILTER (trim(brand_id) = '' OR trim(brand_name) = '') FROM bad_b
+    UNION ALL SELECT 'brand_prefix', count(*) FILTER (NOT starts_with(brand_id, 'brand:')) FROM bad_b""")
 def validate_kb(spark, sf_dir):
-    return kb.validate(fixture_kb(spark, sf_dir))
+    """The constraints counted over tables in which some rows of each kind are broken."""
+    k = fixture_kb(spark, sf_dir)
+    size = lambda c, n: F.length(c) % n == 0
+    broken = lambda bad, value, c: F.when(bad, value).otherwise(F.col(c))
+    concepts = k.concepts.select(broken(size("canonical_it", 3), F.concat(F.lit("x"), "concept_id"), "concept_id").alias("concept_id"), "entity_type", broken(size("canonical_it", 7), F.lit(" "), "canonical_it").alias("canonical_it"))
+    aliases = k.aliases.select(broken(size("alias_raw", 9), F.lit(""), "target_id").alias("target_id"), "alias_raw", "alias_normalized", (F.col("priority") + F.when(size("alias_raw", 4), 50).otherwise(0)).alias("priority"))
+    products = k.drug_products.select(broken(F.endswith("drug_code", F.lit("7")), F.col("drug_code"), "product_id").alias("product_id"), broken(F.endswith("drug_code", F.lit("3")), F.lit(None), "drug_code").alias("drug_code"), "drug_name")
+    brands = k.drug_brands.select(broken(size("brand_name", 5), F.col("brand_name"), "brand_id").alias("brand_id"), broken(size("brand_name", 6), F.lit(""), "brand_name").alias("brand_name"))
+    return kb.validate(tables.KnowledgeBase(concepts, aliases, products, brands, k.issues, k.report))
 
 
 @query(KB_SQL + ALIAS_SQL)
@@ -250,12 +270,12 @@ EXACT_SQL = KB_SQL + f""",
     notes AS (SELECT doc_id AS note_id, text, {sql_norm('text')} AS norm FROM documents),
     hits AS (SELECT note_id, norm, a.*, string_split(norm, alias_normalized) AS ps FROM notes JOIN (SELECT * FROM aliases WHERE safe) a ON contains(norm, alias_normalized)),
     pos AS (SELECT * EXCLUDE (ps), unnest(list_transform(range(1, len(ps)), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda p: length(p))) + (i - 1) * length(alias_normalized) AS INTEGER))) AS s FROM hits),
-    exact AS (SELECT *, s + length(alias_normalized) AS e FROM pos WHERE (s = 0 OR NOT regexp_matches(substr(norm, s, 1), '[a-z0-9_-]')) AND (s + length(alias_normalized) = length(norm) OR NOT regexp_matches(substr(norm, s + length(alias_normalized) + 1, 1), '[a-z0-9_-]')))
+    exact AS MATERIALIZED (SELECT *, s + length(alias_normalized) AS e FROM pos WHERE (s = 0 OR NOT regexp_matches(substr(norm, s, 1), '[a-z0-9_-]')) AND (s + length(alias_normalized) = length(norm) OR NOT regexp_matches(substr(norm, s + length(alias_normalized) + 1, 1), '[a-z0-9_-]')))
 """
 RESOLVED_SQL = EXACT_SQL + """,
     ranked AS (SELECT note_id, list({'s': s, 'e': e, 'id': target_id, 'raw': alias_raw, 'kind': target_type} ORDER BY s - e, CASE target_type WHEN 'drug_product' THEN 0 WHEN 'drug_brand' THEN 1 ELSE 2 END, -priority, s, target_id, alias_raw) AS l FROM exact GROUP BY note_id),
     greedy AS (SELECT note_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x.s < y.e AND y.s < x.e)) > 0 THEN acc ELSE list_append(acc, x) END, l[1:0])) AS m FROM ranked),
-    resolved_spans AS (SELECT note_id, m.s AS s, m.e AS e, m.id AS target_id, m.raw AS alias_raw, m.kind AS target_type FROM greedy)
+    resolved_spans AS MATERIALIZED (SELECT note_id, m.s AS s, m.e AS e, m.id AS target_id, m.raw AS alias_raw, m.kind AS target_type FROM greedy)
 """
 
 
@@ -290,8 +310,10 @@ def interval_overlap(spark, sf_dir):
     return overlap.overlap_pairs(found.select("note_id", "start", "end").distinct(), overlap.resolve(found))
 
 
-@query(RESOLVED_SQL + """, hi AS (SELECT * FROM resolved_spans WHERE target_type <> 'ingredient'), lo AS (SELECT note_id, s, e, target_id FROM exact WHERE target_type = 'ingredient')
-    SELECT note_id, s AS start, CAST(e AS INTEGER) AS "end", target_id FROM hi UNION ALL SELECT note_id, s, CAST(e AS INTEGER), target_id FROM lo WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.note_id = lo.note_id AND hi.s < lo.e AND lo.s < hi.e)""")
+@query(RESOLVED_SQL + """, hi AS (SELECT * FROM resolved_spans WHERE target_type <> 'ingredient'), lo AS (SELECT note_id, s, e, target_id FROM exact WHERE target_type = 'ingredient'),
+    taken AS (SELECT note_id, list({'s': s, 'e': e}) AS spans FROM hi GROUP BY note_id)
+    SELECT note_id, s AS start, CAST(e AS INTEGER) AS "end", target_id FROM hi
+    UNION ALL SELECT note_id, s, CAST(e AS INTEGER), target_id FROM lo LEFT JOIN taken USING (note_id) WHERE coalesce(len(list_filter(spans, lambda x: x.s < lo.e AND lo.s < x.e)), 0) = 0""")
 def merge_layers(spark, sf_dir):
     found = staged(exact_matches(spark, sf_dir), "candidates")
     cols = ["note_id", "start", "end", "target_id"]
@@ -369,7 +391,13 @@ TEXT_SQL = ELIGIBLE_SQL + """,
     mis0 AS (SELECT tok, lead(tok, 2) OVER (ORDER BY r) AS nxt FROM vocab),
     mis AS (SELECT DISTINCT text FROM (SELECT unnest([substr(tok, 1, 2) || substr(tok, 4), substr(tok, 1, 2) || substr(tok, 4, 1) || substr(tok, 3, 1) || substr(tok, 5), concat_ws(' ', nxt, tok)]) AS text FROM mis0) WHERE length(text) >= 6)
 """
-NEAR_SQL = TEXT_SQL + f", near1 AS (SELECT text, key, damerau_levenshtein(replace(text, ' ', '_'), key) AS distance FROM mis, (SELECT DISTINCT {KEY_SQL.format('alias_normalized')} AS key FROM eligible) WHERE abs(length(text) - length(key)) <= 1 AND damerau_levenshtein(replace(text, ' ', '_'), key) <= 1)"
+#: The optimal string alignment of lists of characters a and b, row by row: rows of the last two characters, and the character before.
+OSA_SQL = """list_reduce(range(1, len(a) + 1), lambda st, i: {'old': st.now, 'now': list_reduce(range(1, len(b) + 1), lambda r, j: list_append(r, least(st.now[j + 1] + 1, r[j] + 1, st.now[j] + CASE WHEN a[i] = b[j] THEN 0 ELSE 1 END,
+    CASE WHEN i > 1 AND j > 1 AND a[i] = b[j - 1] AND a[i - 1] = b[j] THEN st.old[j - 1] + 1 ELSE 1000000 END)), [i])}, {'old': range(0, len(b) + 1), 'now': range(0, len(b) + 1)}).now[len(b) + 1]"""
+#: SQL's own distance lets an edit stand between two swapped letters, so it is at most the one meant here, and finds the pairs.
+NEAR_SQL = TEXT_SQL + f""",
+    near0 AS MATERIALIZED (SELECT text, key FROM mis, (SELECT DISTINCT {KEY_SQL.format('alias_normalized')} AS key FROM eligible) WHERE abs(length(text) - length(key)) <= 2 AND damerau_levenshtein(replace(text, ' ', '_'), key) <= 2),
+    near1 AS MATERIALIZED (SELECT * FROM (SELECT text, key, {OSA_SQL} AS distance FROM (SELECT text, key, string_split(replace(text, ' ', '_'), '') AS a, string_split(key, '') AS b FROM near0)) WHERE distance <= 2)"""
 
 
 def misspelt(spark, sf_dir) -> DataFrame:
@@ -378,22 +406,21 @@ def misspelt(spark, sf_dir) -> DataFrame:
 
 @query(NEAR_SQL + " SELECT text, key, CAST(distance AS INTEGER) AS distance FROM near1")
 def edit_join(spark, sf_dir):
-    """Pairs within one edit: up to there SQL's unrestricted distance is the same."""
-    keys = fuzzy.edit_dictionary(fixture_kb(spark, sf_dir).aliases)
-    return fuzzy.edit_join(misspelt(spark, sf_dir), keys).where("distance <= 1")
+    """Pairs within two edits."""
+    return fuzzy.edit_join(misspelt(spark, sf_dir), fuzzy.edit_dictionary(fixture_kb(spark, sf_dir).aliases))
 
 
-@query()
+SCORE_SQL = ", scored AS (SELECT text, alias_raw, target_id, priority, alias_normalized, distance, greatest(0.0, 1.0 - distance / CAST(greatest(length(replace(text, ' ', '')), length(replace(alias_normalized, ' ', '')), 1) AS DOUBLE)) AS score FROM near1 JOIN eligible ON key = " + KEY_SQL.format("alias_normalized") + ")"
+
+
+@query(NEAR_SQL + SCORE_SQL + "SELECT text, alias_normalized, target_id, CAST(distance AS INTEGER) AS distance, round(score, 6) AS score FROM scored")
 def edit_suggestions(spark, sf_dir):
     """All suggestions within two edits, scored."""
     return fuzzy.edit_suggestions(misspelt(spark, sf_dir), fixture_kb(spark, sf_dir).aliases).select("text", "alias_normalized", "target_id", "distance", F.round("score", 6).alias("score"))
 
 
-SCORE_SQL = ", scored AS (SELECT text, alias_raw, target_id, priority, alias_normalized, distance, greatest(0.0, 1.0 - distance / CAST(greatest(length(replace(text, ' ', '')), length(replace(alias_normalized, ' ', '')), 1) AS DOUBLE)) AS score FROM near1 JOIN eligible ON key = " + KEY_SQL.format("alias_normalized") + ")"
-
-
 def near_suggestions(spark, sf_dir) -> DataFrame:
-    return fuzzy.edit_suggestions(misspelt(spark, sf_dir), fixture_kb(spark, sf_dir).aliases).where("distance <= 1")
+    return fuzzy.edit_suggestions(misspelt(spark, sf_dir), fixture_kb(spark, sf_dir).aliases)
 
 
 @query(NEAR_SQL + SCORE_SQL + "SELECT text, alias_raw, target_id, round(score, 6) AS score, CAST(greatest(0, round_even((1.0 - score) * greatest(length(replace(text, ' ', '')), length(replace(alias_normalized, ' ', '')), 1), 0)) AS INTEGER) AS pseudo FROM scored")
@@ -412,13 +439,15 @@ def fuzzy_accept(spark, sf_dir):
     return fuzzy.decide(near_suggestions(spark, sf_dir), FuzzyConfig().edit_acceptance).select("text", "target_id", F.round("score", 6).alias("score"), "reason")
 
 
-@query(TEXT_SQL + """,
+BLOCK_SQL = TEXT_SQL + """,
     grams AS (SELECT text, list_distinct(list_transform(range(1, greatest(length(c) - 2, 1) + 1), lambda i: substr(c, i, 3))) AS g FROM (SELECT text, replace(text, ' ', '') AS c FROM mis)),
     agrams AS (SELECT alias_raw, alias_normalized, target_id, priority, list_distinct(list_transform(range(1, greatest(length(c) - 2, 1) + 1), lambda i: substr(c, i, 3))) AS g FROM (SELECT *, regexp_replace(alias_normalized, '[^a-z0-9]', '', 'g') AS c FROM eligible)),
     tg AS (SELECT text, len(g) AS tn, unnest(g) AS gram FROM grams), ag AS (SELECT * EXCLUDE (g), len(g) AS an, unnest(g) AS gram FROM agrams),
     cnt AS (SELECT text, alias_raw, alias_normalized, target_id, any_value(priority) AS priority, count(*) AS shared, count(*) / CAST(least(any_value(tn), any_value(an)) AS DOUBLE) AS overlap FROM tg JOIN ag USING (gram) GROUP BY 1, 2, 3, 4),
-    blk AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY shared DESC, overlap DESC, priority DESC, alias_normalized, target_id, alias_raw) AS rn FROM cnt WHERE shared >= 2 AND overlap >= CAST(0.35 AS DOUBLE))
-    SELECT text, alias_raw, target_id, shared, round(overlap, 6) AS overlap FROM blk WHERE rn <= 100""")
+    blk AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY shared DESC, overlap DESC, priority DESC, alias_normalized, target_id, alias_raw) AS rn FROM cnt WHERE shared >= 2 AND overlap >= CAST(0.35 AS DOUBLE))"""
+
+
+@query(BLOCK_SQL + "SELECT text, alias_raw, target_id, shared, round(overlap, 6) AS overlap FROM blk WHERE rn <= 100")
 def trigram_block(spark, sf_dir):
     return fuzzy.trigram_block(misspelt(spark, sf_dir), fixture_kb(spark, sf_dir).aliases).select("text", "alias_raw", "target_id", "shared", F.round("overlap", 6).alias("overlap"))
 
@@ -443,17 +472,44 @@ def phrases(spark, sf_dir) -> DataFrame:
     return v.select(F.explode(F.array(F.concat_ws(" ", "tok", "t1"), F.concat_ws(" della ", "tok", "t2"), F.col("t1"))).alias("text"), F.concat_ws(" ", "tok", "t2").alias("other"))
 
 
-@query()
+def indel_sql(x: str, y: str) -> str:
+    """2 LCS / (|x| + |y|) of two texts, 1 for two empty ones, by rows of the longest common subsequence's table."""
+    rows = f"list_reduce(string_split({x}, ''), lambda row, c: list_reduce(range(1, length({y}) + 1), lambda r, j: list_append(r, CASE WHEN c = {y}[j] THEN row[j] + 1 ELSE greatest(row[j + 1], r[j]) END), [0]), list_transform(range(0, length({y}) + 1), lambda k: 0))"
+    return f"CASE WHEN length({x}) + length({y}) = 0 THEN 1.0 WHEN length({x}) * length({y}) = 0 THEN 0.0 ELSE 2.0 * {rows}[length({y}) + 1] / (length({x}) + length({y})) END"
+
+
+PHRASE_SQL = TEXT_SQL + ", phrases AS (SELECT a.text, b.text AS other FROM (SELECT unnest([tok || ' ' || t1, tok || ' della ' || t2, t1]) AS text, r FROM ahead WHERE t2 IS NOT NULL) a JOIN (SELECT tok || ' ' || t2 AS text, r FROM ahead WHERE t2 IS NOT NULL) b USING (r))"
+
+
+def ratios_sql(source: str) -> str:
+    """CTEs that add sort_ratio and set_ratio to the rows of `source`, which has the texts text and other."""
+    words = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+    return f""",
+    rat0 AS (SELECT *, {words('text')} AS xs, {words('other')} AS ys, list_distinct({words('text')}) AS xd, list_distinct({words('other')}) AS yd FROM {source}),
+    rat1 AS (SELECT * EXCLUDE (xd, yd), array_to_string(list_sort(xs), ' ') AS xsort, array_to_string(list_sort(ys), ' ') AS ysort, len(xd) AS nx, len(yd) AS ny,
+        array_to_string(list_sort(list_intersect(xd, yd)), ' ') AS common, array_to_string(list_sort(list_filter(xd, lambda w: NOT list_contains(yd, w))), ' ') AS left_own, array_to_string(list_sort(list_filter(yd, lambda w: NOT list_contains(xd, w))), ' ') AS right_own FROM rat0),
+    rat2 AS (SELECT *, trim(common || ' ' || left_own) AS with_x, trim(common || ' ' || right_own) AS with_y FROM rat1),
+    ratios AS (SELECT * EXCLUDE (xs, ys), {indel_sql('xsort', 'ysort')} AS sort_ratio, CASE WHEN nx = 0 OR ny = 0 THEN 0.0 WHEN common <> '' AND (left_own = '' OR right_own = '') THEN 1.0
+        WHEN common = '' THEN {indel_sql('with_x', 'with_y')} ELSE greatest({indel_sql('with_x', 'with_y')}, {indel_sql('common', 'with_x')}, {indel_sql('common', 'with_y')}) END AS set_ratio FROM rat2)
+"""
+
+
+@query(PHRASE_SQL + ratios_sql("phrases") + "SELECT text, other, round(sort_ratio, 6) AS ratio FROM ratios")
 def token_sort_ratio(spark, sf_dir):
     return phrases(spark, sf_dir).select("text", "other", F.round(similarity.token_sort_ratio("text", "other"), 6).alias("ratio"))
 
 
-@query()
+@query(PHRASE_SQL + ratios_sql("phrases") + "SELECT text, other, round(set_ratio, 6) AS ratio FROM ratios")
 def token_set_ratio(spark, sf_dir):
     return phrases(spark, sf_dir).select("text", "other", F.round(similarity.token_set_ratio("text", "other"), 6).alias("ratio"))
 
 
-@query()
+@query(BLOCK_SQL + f""",
+    info AS (SELECT text, alias_normalized AS other, alias_raw, target_id, {INFO_SQL.format('text')} AS x, {INFO_SQL.format('alias_normalized')} AS y FROM blk WHERE rn <= 100),
+    gated AS MATERIALIZED (SELECT * FROM (SELECT text, other, alias_raw, target_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(x, y)) / CAST(len(x) + len(y) AS DOUBLE) END AS dice FROM info) WHERE dice >= CAST(0.75 AS DOUBLE))"""
+    + ratios_sql("gated") + """
+    SELECT text, alias_raw, target_id, round(dice, 6) AS dice, round(greatest(sort_ratio, set_ratio) * dice, 6) AS score,
+        CAST(greatest(0, round_even((1.0 - greatest(sort_ratio, set_ratio) * dice) * greatest(length(replace(text, ' ', '')), length(replace(other, ' ', '')), 1), 0)) AS INTEGER) AS distance FROM ratios""")
 def fuzzy_score(spark, sf_dir):
     s = fuzzy.ratio_suggestions(misspelt(spark, sf_dir), fixture_kb(spark, sf_dir).aliases)
     return s.select("text", "alias_raw", "target_id", F.round("dice", 6).alias("dice"), F.round("score", 6).alias("score"), "distance")
@@ -472,21 +528,21 @@ def all_vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumnsRenamed({"embedding": "vector", "vec_id": "vector_id"}).withColumn("target_id", F.col("label").cast("string"))
 
 
-def even_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Even vec_ids as the index, odd ones as queries: the split that KNN_SQL has."""
+def asked_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every row whose vec_id is divisible by 20, as the queries, and all rows as the index."""
     e = all_vectors(spark, sf_dir)
-    return e.where("vector_id % 2 = 1").withColumnRenamed("vector_id", "query_id").drop("target_id"), e.where("vector_id % 2 = 0")
+    return e.where("vector_id % 20 = 0").withColumnRenamed("vector_id", "query_id").drop("target_id"), e
 
 
 KNN_SQL = """
-    WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS vector_id, i.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS sim FROM embeddings q JOIN embeddings i ON q.vec_id % 2 = 1 AND i.vec_id % 2 = 0),
+    WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS vector_id, i.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS sim FROM embeddings q JOIN embeddings i ON q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vector_id) AS rn FROM p)
 """
 
 
 @query(KNN_SQL + "SELECT query_id, vector_id, round(sim, 4) AS similarity, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 10")
 def knn_cosine(spark, sf_dir):
-    queries, index = even_index(spark, sf_dir)
+    queries, index = asked_vectors(spark, sf_dir)
     return vectors.nearest(queries, index).withColumn("similarity", F.round("similarity", 4))
 
 
@@ -495,13 +551,13 @@ def knn_cosine(spark, sf_dir):
 def semantic_accept(spark, sf_dir):
     from dataclasses import replace
 
-    queries, index = even_index(spark, sf_dir)
+    queries, index = asked_vectors(spark, sf_dir)
     found = vectors.nearest(queries, index).join(index.drop("vector"), "vector_id").select("query_id", F.col("similarity").alias("score"), F.lit(55).alias("priority"), "target_id", F.lpad(F.col("vector_id").cast("string"), 20, "0").alias("alias_normalized"))
     cfg = replace(EngineConfig().semantic, threshold=0.35)
     return vectors.decide(found, cfg, "query_id").select("query_id", "target_id", "reason")
 
 
-@query()
+@query("SELECT vec_id AS vector_id, CAST(label AS VARCHAR) AS target_id, CAST(len(embedding) AS INTEGER) AS dim, (SELECT count(*) FROM embeddings) AS count FROM embeddings")
 def vec_index_roundtrip(spark, sf_dir):
     """All rows of embeddings, written as an index and read back."""
     folder = f"{shared_dir(spark)}/vectors-{id(object())}"
@@ -522,7 +578,17 @@ def capital_entities(n: DataFrame) -> DataFrame:
     return words.select("note_id", F.lit("B-DRUG").alias("entity_group"), F.lit(None).cast("string").alias("entity"), F.col("head").alias("word"), (F.col("start") - 1).alias("start"), (F.col("start") + F.length("head") + 1).alias("end"), F.lit(1.0).alias("score"))
 
 
-@query()
+@query(RESOLVED_SQL + r""",
+    run0 AS (SELECT note_id, norm, regexp_extract_all(norm, '[a-z0-9_-]+|[^a-z0-9_-]+') AS rs FROM notes),
+    run1 AS (SELECT note_id, norm, unnest(rs) AS run, unnest(range(len(rs))) AS i FROM run0),
+    run2 AS (SELECT *, coalesce(sum(length(run)) OVER (PARTITION BY note_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM run1),
+    ent0 AS (SELECT note_id, greatest(s - 1, 0) AS a, least(s + length(run) + 1, length(norm)) AS b, norm FROM run2 WHERE regexp_matches(run, '^[a-z0-9_-]') AND length(run) >= 9),
+    ent1 AS (SELECT note_id, a, substr(norm, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS piece FROM ent0),
+    ent2 AS (SELECT note_id, a + length(piece) - length(ltrim(piece)) AS a, trim(piece) AS piece FROM ent1),
+    ent3 AS (SELECT DISTINCT note_id, CAST(a + length(piece) - length(ltrim(piece, '.,;:!?()[]{}')) AS INTEGER) AS s, trim(piece, '.,;:!?()[]{}') AS text FROM ent2),
+    taken AS (SELECT note_id, list({'s': s, 'e': e}) AS spans FROM resolved_spans GROUP BY note_id)
+    SELECT note_id, s AS start, CAST(s + length(text) AS INTEGER) AS "end", text FROM ent3 LEFT JOIN taken USING (note_id)
+    WHERE length(replace(text, ' ', '')) >= 3 AND coalesce(len(list_filter(spans, lambda x: x.s < ent3.s + length(text) AND ent3.s < x.e)), 0) = 0""")
 def ner_filter(spark, sf_dir):
     n, done = protected_notes(spark, sf_dir)
     return vectors.entity_candidates(n, capital_entities(n), done)
