@@ -56,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_transactions, op3_jaccard_join, op4_simhash, op5_quality_classifier, op6_secret_links, op7_byte_bpe, op8_quality_rules, op9_pareto_mix, op10_language_id)}
 
 SQL = {
+    "op8_quality_rules": rules.SQL,
     "op9_pareto_mix": mixing.SQL,
     "op2_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

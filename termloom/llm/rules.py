@@ -159,3 +159,28 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: flo
     """features() of docs with kept. Features are computed once and staged as narrow rows."""
     feats = staged(features(docs), "features")
     return judge(feats, cutoffs(feats, labels.select("doc_id", "quality"), alpha, delta))
+
+
+#: verdicts() with the defaults. crc32 goes bit by bit over the digits of doc_id; the binomial tail is summed term by term.
+SQL = """
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    e AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM e WHERE len(ws) >= 3)),
+    twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+    rep AS (SELECT rid, CAST(sum(least(3, coalesce(i - before, 3))) AS BIGINT) AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM twice) GROUP BY rid),
+    f AS (SELECT e.rid, doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM e LEFT JOIN rep USING (rid)),
+    g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 800 THEN 2 WHEN n_words >= 200 THEN 1 ELSE 0 END AS stratum,
+                 {'symbols': least(CAST(1 AS DOUBLE), CAST(n_symbols AS DOUBLE) / greatest(word_chars, 1)), 'dup_lines': least(CAST(1 AS DOUBLE), CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1)), 'repeats': least(CAST(1 AS DOUBLE), CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1))} AS r FROM f),
+    known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    fold AS (SELECT doc_id, quality, xor(list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda c, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, CAST(ascii(b) AS BIGINT))), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM known),
+    good AS (SELECT t, stratum, any_value(r) AS r FROM g JOIN fold USING (doc_id) WHERE NOT base_failed AND crc % 5 <> 0 GROUP BY t, stratum HAVING min(quality) = 1),
+    bins AS (SELECT stratum, u.rule, CAST(ceil(u.x * 100) AS INTEGER) AS bin FROM (SELECT stratum, unnest([{'rule': 'symbols', 'x': r.symbols}, {'rule': 'dup_lines', 'x': r.dup_lines}, {'rule': 'repeats', 'x': r.repeats}]) AS u FROM good)),
+    grid AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (bin > cut) AS k FROM bins, (SELECT unnest(range(0, 101)) AS cut) GROUP BY ALL),
+    tested AS (SELECT *, CASE WHEN k >= n * (0.02 / CAST(3 AS DOUBLE)) THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02 / CAST(3 AS DOUBLE)) + (n - i) * ln(1 - 0.02 / CAST(3 AS DOUBLE))))) END > CAST(0.05 AS DOUBLE) / 9 AS fails FROM grid),
+    cuts AS (SELECT stratum, rule, min(cut) / CAST(100 AS DOUBLE) AS cutoff FROM (SELECT *, bool_or(fails) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS failed FROM tested) WHERE NOT failed GROUP BY ALL)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT coalesce(r.symbols > (SELECT cutoff FROM cuts WHERE cuts.stratum = g.stratum AND rule = 'symbols'), false) AND NOT coalesce(r.dup_lines > (SELECT cutoff FROM cuts WHERE cuts.stratum = g.stratum AND rule = 'dup_lines'), false)
+               AND NOT coalesce(r.repeats > (SELECT cutoff FROM cuts WHERE cuts.stratum = g.stratum AND rule = 'repeats'), false) AS kept
+    FROM g
+"""

@@ -910,6 +910,34 @@ def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df, cur = queries.QUERIES[name](spark, sf), con.execute(queries.SQL[name])
+    names = [d[0] for d in cur.description]
+    rows = lambda found, names: Counter(tuple(round(x, 6) if isinstance(x, float) else x for _, x in sorted(zip(names, r))) for r in found)
+    assert sorted(names) == sorted(df.columns) and rows(map(tuple, df.collect()), df.columns) == rows(cur.fetchall(), names)
+
+
+def test_rules_sql_with_many_labels(spark):
+    """At a scale where cutoffs are certified: the SQL's verdicts, exact tails included."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    expected = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({rules.SQL})").fetchall()}
+    got = {r.doc_id: (r.kept, r.base_failed) for r in queries.op8_quality_rules(spark, sf).collect()}
+    assert {i: k for i, (k, _) in got.items()} == expected
+    assert sum(not k and not f for k, f in got.values()) > 100
+
+
 def test_pipeline_run(spark, monkeypatch):
     """All five stages through run(), with odd rows; the last one's ids decode to the text of the stage before it."""
     import corpus_pipeline
