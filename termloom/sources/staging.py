@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,8 +44,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Delete what staged() wrote, through Hadoop's file system, once nothing reads it any more."""
+    """Delete what staged() wrote, through Hadoop's file system, once nothing reads it any more.
+
+    The driver's garbage is collected then: Spark deletes the shuffle files and broadcasts of finished steps only when their plans are.
+    """
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path, store = _on(df.sparkSession, folder)
             store.delete(path, True)
+    for df in tables[:1]:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
