@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,28 +15,60 @@ from pyspark.sql import types as T
 
 from termloom.config import NormalizerConfig
 
-# Dashes and apostrophes that count as "-" and "'", and Greek letters in Latin spelling.
+# Dashes and apostrophes that count as "-" and "'", and letters and signs in ASCII spelling.
 DASHES = "‐‑‒–—−"
 APOSTROPHES = "‘’‛′`´"
-GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "a b g d e z e th i k l m n x o p r s t u ph kh ps o".split())) | {"ς": "s"}
-LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ĸ": "k", "ŧ": "t", "⁄": "/", "±": "+-", "«": "<<", "»": ">>", "€": "EUR", "£": "PS", "°": "deg", "×": "x", "·": "*", "•": "*", "“": '"', "”": '"', "„": '"', "•": "*"}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s",
+    "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u",
+    "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ј": "j", "љ": "lj", "њ": "nj", "ђ": "dj", "ћ": "tsh", "џ": "dzh", "ѕ": "dz", "ґ": "g",
+}
+LATIN = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ĸ": "k", "ŧ": "t", "⁄": "/", "±": "+-", "«": "<<", "»": ">>", "€": "EUR", "£": "PS", "°": "deg", "×": "x", "·": "*",
+    "•": "*", "“": '"', "”": '"', "„": '"', "¡": "!", "¿": "?", "¢": "C/", "¦": "|", "§": "SS", "©": "(c)", "¬": "!", "®": "(r)", "¶": "P", "÷": "/",
+}
+#: Ideographs, which have no spelling of their own: u and their number. Characters from LAST on are spelled so too, if they are letters.
+IDEOGRAPHS = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2F7FF), (0x30000, 0x3FFFF))
+LAST = 0x30000
+
+
+def spelled(char: str) -> str:
+    """A letter of another script by its Unicode name: the name's last word, of an alphabet's consonant what stands before its vowel."""
+    name = unicodedata.name(char, "")
+    kind = unicodedata.category(char)
+    if kind[0] == "N" and unicodedata.digit(char, None) is not None:
+        return str(unicodedata.digit(char))
+    if not (kind[0] in "LN" or "VOWEL SIGN" in name) or not name:
+        return " " if char.isspace() else ""
+    word = "".join(c for c in re.split("[ -]", name)[-1].lower() if c.isascii() and c.isalnum())
+    alphabet = name.split(" ")[0] in ("CYRILLIC", "HEBREW", "ARABIC", "ARMENIAN", "GEORGIAN", "COPTIC", "SYRIAC", "GREEK", "LATIN", "THAANA", "GOTHIC")
+    start = re.match("[bcdfghjklmnpqrstvwxyz]+", word)
+    return (start[0] if start else word[:1]) if alphabet and len(word) > 1 else word
 
 
 @cache
 def fold_char(char: str, lowercase: bool = True, strip_accents: bool = True) -> str:
     """One character in compatibility form, dashes and apostrophes unified, in ASCII if asked, in lower case if asked.
 
-    Characters without an ASCII spelling here (no Latin or Greek letter beneath) vanish.
+    In ASCII, letters of every script are spelled: Latin, Greek and Cyrillic ones by table, others by their names, ideographs by
+    number. Signs without a spelling vanish.
     """
     out = []
     for c in unicodedata.normalize("NFKC", char):
         c = "-" if c in DASHES else "'" if c in APOSTROPHES else c
         if strip_accents and ord(c) > 127:
-            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            base = c if "가" <= c <= "힣" else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
             ascii_ = []
             for x in base:
                 low = x.lower()
-                known = x if ord(x) < 128 else LATIN.get(low, GREEK.get(low, " " if x.isspace() else ""))
+                known = x if ord(x) < 128 else LATIN.get(low, GREEK.get(low, CYRILLIC.get(low)))
+                if known is None:
+                    number = ord(x)
+                    listed = any(a <= number <= b for a, b in IDEOGRAPHS)
+                    known = f"u{number:x}" if listed or (number >= LAST and unicodedata.category(x)[0] == "L") else spelled(low if len(low) == 1 else x)
                 ascii_.append(known.upper() if x != low and known.isalpha() else known)
             c = "".join(ascii_)
         out.append(c)
@@ -44,64 +77,76 @@ def fold_char(char: str, lowercase: bool = True, strip_accents: bool = True) ->
 
 
 _OTHER = "[^\\x00-\\x7F]"
+#: Code points of a cell of the table of expansions: one text, parts by U+001F.
+CELL = 64
 
 
 @cache
-def _tables(lowercase: bool) -> tuple[str, str, str, str]:
-    """Characters of the basic plane that fold to one other, what to; those that fold to several, and to what (by U+001F)."""
-    single, to, several, parts = [], [], [], []
-    for code in range(128, 0x10000):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn":
-            continue
-        f = fold_char(c, lowercase)
-        if len(f) == 1:
-            single.append(c)
-            to.append(f)
-        elif f:
-            several.append(c)
-            parts.append(f)
-    return "".join(single), "".join(to), "".join(several), "\x1f".join(parts)
+def _tables(lowercase: bool, strip_accents: bool) -> tuple[str, str, tuple[str, ...]]:
+    """Characters of the basic plane that fold to one other, and what to; the rest of the folds by cells of CELL code points, where a part
+    that is U+001E means that the character stays."""
+    single, to, cells = [], [], []
+    for low in range(0, LAST, CELL):
+        parts = []
+        for code in range(low, low + CELL):
+            c = chr(code)
+            known = not (0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn" or any(a <= code <= b for a, b in IDEOGRAPHS))
+            f = fold_char(c, lowercase, strip_accents) if known else ""
+            stays = f == c or (not known and not strip_accents)
+            if len(f) == 1 and not stays and code < 0x10000:
+                single.append(c)
+                to.append(f)
+            parts.append("\x1e" if stays else f if len(f) > 1 or code >= 0x10000 else "")
+        cells.append("\x1f".join(parts) if any(parts) else "")
+    return "".join(single), "".join(to), tuple(cells)
 
 
 def fold(text: Column, cfg: NormalizerConfig = NormalizerConfig()) -> Column:
-    """fold_char() of every character, within codegen: a translation and, for texts that have any, expansions."""
-    if not cfg.strip_accents:
-        t = F.translate(text, DASHES + APOSTROPHES, "-" * len(DASHES) + "'" * len(APOSTROPHES))
-        return F.lower(t) if cfg.lowercase else t
-    # most texts are ASCII, for which nothing but the grave accent and case is left to do
-    single, to, several, parts = _tables(cfg.lowercase)
+    """fold_char() of every character: a translation within codegen and, for texts that then have other characters yet, expansions."""
+    single, to, cells = _tables(cfg.lowercase, cfg.strip_accents)
+    # neighbouring equal cells, most of them empty, are told by their number
+    places = {x: i for i, x in enumerate(dict.fromkeys(cells))}
+    table = F.split(F.lit("\x1d".join(places)), "\x1d", -1)
+    index = F.split(F.lit(",".join(str(places[x]) for x in cells)), ",").cast("array<int>")
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        part = F.get(F.split(F.get(table, F.get(index, F.floor(code / CELL).cast("int"))), "\x1f", -1), code % CELL)
+        if not cfg.strip_accents:
+            return F.when(code < 128, c).when(code >= LAST, c).otherwise(F.when(F.coalesce(part, F.lit("")) == "\x1e", c).otherwise(part))
+        number = F.concat(F.lit("u"), F.lower(F.hex(code)))
+        ideograph = F.lit(False)
+        for a, b in IDEOGRAPHS:
+            ideograph = ideograph | code.between(a, b)
+        return F.when(code < 128, c).when(ideograph, number).when(code >= LAST, F.lit("")).otherwise(F.coalesce(part, F.lit("")))
 
     def expand(t: Column) -> Column:
-        """Characters that fold to several; what is left of other scripts goes."""
-        every = lambda x: F.regexp_extract_all(F.lit(x), F.lit("(?s)."), F.lit(0))
-        known = F.map_from_arrays(every(several), F.split(F.lit(parts), "\x1f", -1))
-        one = lambda c: F.when(c.rlike(_OTHER), F.coalesce(F.try_element_at(known, c), F.lit(""))).otherwise(c)
         return F.when(t.rlike(_OTHER), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(t)
 
     translated = F.element_at(F.transform(F.array(F.translate(text, single, to)), expand), 1)
+    # most texts are ASCII, for which nothing but the grave accent and case is left to do
     t = F.replace(F.when(text.rlike(_OTHER), translated).otherwise(text), F.lit(APOSTROPHES[4]), F.lit("'"))
-    return F.lower(t) if cfg.lowercase else t
+    return F.translate(t, ascii_uppercase, ascii_lowercase) if cfg.lowercase else t
 
 
 def _kept(cfg: NormalizerConfig) -> str:
-    return "\\w\\s+\\-'." + "&" * cfg.keep_ampersand + "#" * cfg.keep_hash
+    return "\\p{L}\\p{N}_\\s\\x1C-\\x1F+\\-'." + "&" * cfg.keep_ampersand + "#" * cfg.keep_hash
 
 
 SPACE = "[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F]+"
 
 
-def normalize_e_numbers(text: Column) -> Column:
+def normalize_e_numbers(text: Column, flag: str = "") -> Column:
     """'e 171' becomes 'e171'."""
-    return F.regexp_replace(text, "(?i)\\b(e)\\s+(\\d{3,4})\\b", "$1$2")
+    return F.regexp_replace(text, f"(?i){flag}\\b(e)[\\s\\x1C-\\x1F]+(\\d{{3,4}})\\b", "$1$2")
 
 
 def normalize(text: Column, cfg: NormalizerConfig = NormalizerConfig()) -> Column:
     """Folded text, punctuation but + - ' . (and & # by option) to spaces, E-numbers joined, spaces collapsed. Null: ''."""
     flag = "" if cfg.strip_accents else "(?U)"
     t = F.regexp_replace(fold(F.coalesce(text, F.lit("")), cfg), f"{flag}[^{_kept(cfg)}]", " ")
-    t = normalize_e_numbers(t) if cfg.normalize_e_numbers else t
-    return F.trim(F.regexp_replace(t, SPACE, " "))
+    t = normalize_e_numbers(t, flag) if cfg.normalize_e_numbers else t
+    return F.trim(F.regexp_replace(t, SPACE if cfg.strip_accents else "(?U)[\\s\\x1C-\\x1F]+", " "))
 
 
 def normalize_for_id(text: Column) -> Column:

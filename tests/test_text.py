@@ -31,6 +31,24 @@ def test_native_equals_mapped_on_random_texts(spark):
         assert r.n == t.map_text(r.x)[0], r.x
 
 
+@pytest.mark.parametrize("cfg", [NormalizerConfig(), NormalizerConfig(lowercase=False), NormalizerConfig(strip_accents=False), NormalizerConfig(lowercase=False, strip_accents=False)])
+def test_native_equals_mapped_on_every_character(spark, cfg):
+    """All characters that both Unicode versions know, each between others."""
+    import unicodedata
+
+    codes = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    df = spark.createDataFrame([(f"1{chr(c)}a {chr(c)}B",) for c in codes], "x string").repartition(8)
+    known = df.where(~F.col("x").rlike("\\p{Cn}"))
+    bad = known.select("x", t.normalize(F.col("x"), cfg).alias("n"), t.normalize_with_mapping(cfg)("x").alias("m")).where("n <> m.text")
+    assert [(r.x, r.n, r.m.text) for r in bad.limit(5).collect()] == [] and known.count() > 100_000
+
+
+def test_other_scripts_are_spelled(spark):
+    cases = {"Парацетамол 5": "paratsetamol 5", "𝐀spirina": "aspirina", "щука": "shchuka", "שלום": "shlvm", "カナ": "kana", "한글": "hangeul", "中文": "u4e2du6587", "٣": "3", "ﬁbra ½ ²": "fibra 1 2 2", "µg": "mg", "É™": "etm"}
+    df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", t.normalize(F.col("x")).alias("n"))
+    assert {r.x: r.n for r in df.collect()} == cases and all(t.map_text(x)[0] == y for x, y in cases.items())
+
+
 @pytest.mark.parametrize("text,part,original", [("Allergia ad Acetaminofene.", "acetaminofene", "Acetaminofene"), ("Titanio (E 171)", "e171", "E 171"), ("x F D & C #3 y", "f d c 3", "F D & C #3")])
 def test_original_span(spark, text, part, original):
     n, m = t.map_text(text)
