@@ -2,8 +2,8 @@
 
 A match starts and ends at a token boundary: the text's ends, or any character outside [a-z0-9_-]. So an alias
 begins at the start of a run of such characters (or, if it begins with other characters, right before one),
-and its first run is a whole run of the text. Runs are joined with aliases by that run; the few runs that
-follow are compared as one short string.
+and its first run is a whole run of the text. Runs are joined with aliases by that run; for the few that meet, the
+alias is compared with the text at that place. An alias without any such character begins at one of the characters between runs.
 """
 
 from __future__ import annotations
@@ -17,14 +17,31 @@ RUNS = "[a-z0-9_-]+|[^a-z0-9_-]+"
 
 
 def indexed_aliases(aliases: DataFrame, include_unsafe: bool = False) -> DataFrame:
-    """Aliases that may match, with the leading other characters (lead), first run (head), and number of runs."""
+    """Aliases that may match, with the leading other characters (lead), first run (head; the first character where there is no run), and
+    number of runs."""
     kept = aliases.where((F.col("safe_for_exact_match") | F.lit(include_unsafe)) & (F.col("alias_normalized") != ""))
     lead = F.regexp_extract("alias_normalized", "^[^a-z0-9_-]*", 0)
     core = F.substring(F.col("alias_normalized"), F.length(lead) + 1, F.length("alias_normalized"))
     return kept.select(
         "alias_raw", "alias_normalized", "target_id", "target_type", "alias_category", "priority", "requires_context", lead.alias("lead"), core.alias("core"),
         F.regexp_extract(core, "^[a-z0-9_-]+", 0).alias("head"), F.size(F.regexp_extract_all(core, F.lit(RUNS), F.lit(0))).alias("n_runs"),
-    ).where("head <> ''")
+    ).withColumn("lead", F.when(F.col("head") == "", "").otherwise(F.col("lead"))).withColumn("bare", F.col("head") == "").withColumn("head", F.when(F.col("head") == "", F.substring("alias_normalized", 1, 1)).otherwise(F.col("head")))
+
+
+def heads(notes: DataFrame, bare: bool) -> DataFrame:
+    """notes(note_id, norm) to note_id, norm, head, start: one row a run of word characters and, if asked, one a character between runs.
+    The text stays beside its rows only as long as nothing shuffles them."""
+    runs = F.transform(runs_with_offsets(F.col("norm"), RUNS), lambda r: F.struct(r["run"].alias("head"), r["start"].alias("start")))
+    words = F.filter(runs, lambda r: r["head"].rlike("^[a-z0-9_-]"))
+    if bare:
+        others = F.filter(runs, lambda r: ~r["head"].rlike("^[a-z0-9_-]"))
+        each = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.length(r["head"])), lambda i: F.struct(F.substring(r["head"], i, F.lit(1)).alias("head"), (r["start"] + i - 1).alias("start")))))
+        words = F.concat(words, each)
+    return notes.select("note_id", "norm", words.alias("words")).select("note_id", "norm", F.inline("words"))
+
+
+#: Aliases up to which the index is broadcast (some 200 bytes each); beyond, runs are shuffled with what follows them.
+BROADCAST = 500_000
 
 
 def word_starts(notes: DataFrame, n_runs: int) -> DataFrame:
@@ -45,19 +62,44 @@ def word_starts(notes: DataFrame, n_runs: int) -> DataFrame:
 def match(notes: DataFrame, aliases: DataFrame, include_unsafe: bool = False) -> DataFrame:
     """notes(note_id, norm) and alias rows to candidates (schemas.CANDIDATES), overlapping ones included.
 
-    Whether the aliases are broadcast is left to Spark's size check. An alias without any word character can't
-    stand between boundaries that the join sees and isn't matched.
+    Up to BROADCAST aliases come to the runs, whose text is then at hand; of more, runs are dealt out by their first word with
+    as many runs behind them as the longest alias has. Null texts have no match.
     """
     index = indexed_aliases(aliases, include_unsafe)
-    most = index.agg(F.max("n_runs")).first()[0] or 1
-    found = word_starts(notes, most).join(index, "head")
-    n = F.length("core")
-    after = F.substring(F.col("tail"), n + 1, F.lit(1))
+    about = index.agg(F.count(F.lit(1)).alias("n"), F.max("n_runs").alias("most"), F.max("bare").alias("bare")).first()
+    name, size = F.col("alias_normalized"), F.length("alias_normalized")
+    if about["n"] <= BROADCAST:
+        at = F.col("start") - F.length("lead")
+        before, after = F.substring(F.col("norm"), at, F.lit(1)), F.substring(F.col("norm"), at + size + 1, F.lit(1))
+        found = heads(notes, bool(about["bare"])).join(F.broadcast(index), "head")
+        found = found.where((at >= 0) & (F.substring(F.col("norm"), at + 1, size) == name) & ((at == 0) | ~before.rlike("[a-z0-9_-]")) & ~after.rlike("[a-z0-9_-]"))
+        return _candidates(found, at)
+    found = word_starts(notes, about["most"]).join(index.where(~F.col("bare")), "head")
+    after = F.substring(F.col("tail"), F.length("core") + 1, F.lit(1))
     closed = F.startswith("tail", F.col("core")) & ((after == "") | ~after.rlike("[a-z0-9_-]"))
     # nothing or a boundary character before: the lead may fill the gap only at the text's start
     opened = F.endswith("gap", F.col("lead")) & ((F.length("lead") == 0) | (F.length("gap") > F.length("lead")) | (F.col("start") == F.length("lead")))
-    start = F.col("start") - F.length("lead")
-    return found.where(closed & opened).select(
+    out = _candidates(found.where(closed & opened), F.col("start") - F.length("lead"))
+    if not about["bare"]:
+        return out
+    # aliases of signs alone: each character between runs with the rest of its gap
+    signs = sign_starts(notes).join(index.where("bare"), "head")
+    whole = F.startswith("tail", name) & ((F.length("tail") > size) | F.col("ends"))
+    return out.unionByName(_candidates(signs.where(whole & F.col("opens")), F.col("start")))
+
+
+def sign_starts(notes: DataFrame) -> DataFrame:
+    """notes(note_id, norm) to one row a character between runs of word characters: head, start, tail (the rest of the gap), ends (the gap ends the
+    text), opens (no word character stands before)."""
+    runs = F.filter(runs_with_offsets(F.col("norm"), RUNS), lambda r: ~r["run"].rlike("^[a-z0-9_-]"))
+    each = notes.select("note_id", F.length("norm").alias("size"), F.explode(runs).alias("r")).select("note_id", "size", "r.run", F.col("r.start").alias("gap_start"), F.explode(F.sequence(F.lit(1), F.length("r.run"))).alias("i"))
+    start = F.col("gap_start") + F.col("i") - 1
+    tail = F.substring(F.col("run"), F.col("i"), F.length("run"))
+    return each.select("note_id", F.substring(F.col("run"), F.col("i"), F.lit(1)).alias("head"), start.alias("start"), tail.alias("tail"), (F.col("gap_start") + F.length("run") == F.col("size")).alias("ends"), ((F.col("i") > 1) | (F.col("gap_start") == 0)).alias("opens"))
+
+
+def _candidates(found: DataFrame, start: Column) -> DataFrame:
+    return found.select(
         "note_id", F.col("alias_normalized").alias("surface"), start.cast("int").alias("start"), (start + F.length("alias_normalized")).cast("int").alias("end"), "target_id", "target_type",
         "alias_raw", "alias_normalized", "alias_category", F.lit(1.0).alias("confidence"), "priority", F.lit("aho_corasick_exact").alias("method"), "requires_context",
     )

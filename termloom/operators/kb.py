@@ -14,13 +14,19 @@ from termloom.sources.tables import KnowledgeBase
 PRIORITY = {"it": 95, "en": 90, "synonym_it": 80, "synonym_en": 75, "created": 90, "product": 90, "brand": 85}
 
 
+def order(stage: int, seq: Column, role: Column | int = 0, pos: Column | int = 0) -> Column:
+    """The place of a row among all that are merged: synonym rows, then what products add, then products; within, rows, roles, positions."""
+    cell = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("long")
+    return F.struct(F.lit(stage).alias("stage"), cell(seq).alias("seq"), cell(role).alias("role"), cell(pos).alias("pos"))
+
+
 def concept_id(entity_type: Column, name: Column) -> Column:
     return F.concat(F.replace(entity_type, F.lit("/"), F.lit("_")), F.lit(":"), normalize_for_id(name))
 
 
 def synonym_concepts(synonyms: DataFrame) -> DataFrame:
     return synonyms.select(
-        F.col("seq").cast("double").alias("seq"), concept_id(F.col("entity_type"), F.col("ingredient_it")).alias("concept_id"), "entity_type",
+        order(0, F.col("seq")).alias("seq"), concept_id(F.col("entity_type"), F.col("ingredient_it")).alias("concept_id"), "entity_type",
         F.col("ingredient_it").alias("canonical_it"), F.col("ingredient_en").alias("canonical_en"), F.array(F.lit("UMLS")).alias("sources"),
     )
 
@@ -54,7 +60,7 @@ def synonym_aliases(synonyms: DataFrame, cfg: EngineConfig) -> DataFrame:
         F.transform("synonyms_it", lambda x: entry(x, "it", PRIORITY["synonym_it"])), F.transform("synonyms_en", lambda x: entry(x, "en", PRIORITY["synonym_en"])),
     )
     each = synonyms.select("seq", concept_id(F.col("entity_type"), F.col("ingredient_it")).alias("target_id"), F.posexplode(names).alias("k", "n")).where("n.alias_raw IS NOT NULL")
-    return make_aliases(each.select((F.col("seq") + F.col("k") / 1e6).alias("seq"), "n.alias_raw", "target_id", F.lit("ingredient").alias("target_type"), "n.language", F.lit("UMLS").alias("source"), "n.priority"), cfg)
+    return make_aliases(each.select(order(0, F.col("seq"), 0, F.col("k")).alias("seq"), "n.alias_raw", "target_id", F.lit("ingredient").alias("target_type"), "n.language", F.lit("UMLS").alias("source"), "n.priority"), cfg)
 
 
 def ingredient_index(aliases: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def issues(resolved: DataFrame) -> DataFrame:
 
 
 def _order(resolved: DataFrame) -> Column:
-    return 1e9 + F.col("seq") * 1000 + F.when(F.col("role") == "active", 0).otherwise(500) + F.col("pos") / 1e3
+    return order(1, F.col("seq"), F.when(F.col("role") == "active", 0).otherwise(1), F.col("pos"))
 
 
 def created_concepts(resolved: DataFrame) -> DataFrame:
@@ -117,8 +123,8 @@ def brand_id(name: Column) -> Column:
 def drug_aliases(products: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The full name of each product, and its base name as an alias of the brand."""
     shared = [F.lit("it").alias("language"), F.lit("AIFA").alias("source")]
-    full = products.select((2e15 + F.col("seq") * 2).alias("seq"), F.col("drug_name").alias("alias_raw"), F.col("product_id").alias("target_id"), F.lit("drug_product").alias("target_type"), *shared, F.lit(PRIORITY["product"]).alias("priority"))
-    base = products.where("brand_name IS NOT NULL").select((2e15 + F.col("seq") * 2 + 1).alias("seq"), F.col("brand_name").alias("alias_raw"), brand_id(F.col("brand_name")).alias("target_id"), F.lit("drug_brand").alias("target_type"), *shared, F.lit(PRIORITY["brand"]).alias("priority"))
+    full = products.select(order(2, F.col("seq")).alias("seq"), F.col("drug_name").alias("alias_raw"), F.col("product_id").alias("target_id"), F.lit("drug_product").alias("target_type"), *shared, F.lit(PRIORITY["product"]).alias("priority"))
+    base = products.where("brand_name IS NOT NULL").select(order(2, F.col("seq"), 1).alias("seq"), F.col("brand_name").alias("alias_raw"), brand_id(F.col("brand_name")).alias("target_id"), F.lit("drug_brand").alias("target_type"), *shared, F.lit(PRIORITY["brand"]).alias("priority"))
     return make_aliases(full.unionByName(base), cfg)
 
 
@@ -174,8 +180,8 @@ def build(synonyms: DataFrame, drugs: DataFrame, cfg: EngineConfig = EngineConfi
     aliases = mark_ambiguous(dedup_aliases(every)).drop("seq")
     found = issues(resolved)
     products = products.drop("seq")
-    order = "alias_raw alias_normalized target_id target_type language source alias_category priority safe_for_exact_match requires_context policy_reason ambiguous_targets deduplicated_from".split()
-    return KnowledgeBase(concepts, aliases.select(*order), products, brands, found, build_report(concepts, aliases, products, brands, found))
+    columns = "alias_raw alias_normalized target_id target_type language source alias_category priority safe_for_exact_match requires_context policy_reason ambiguous_targets deduplicated_from".split()
+    return KnowledgeBase(concepts, aliases.select(*columns), products, brands, found, build_report(concepts, aliases, products, brands, found))
 
 
 def validate(kb: KnowledgeBase) -> DataFrame:

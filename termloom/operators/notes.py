@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,20 @@ from termloom.config import EngineConfig
 from termloom.functions.text import display_name, normalize_with_mapping, original_span
 from termloom.operators import exact, fuzzy
 from termloom.operators.overlap import merge_layers, resolve
+from termloom.schemas import TARGET_TYPES
 from termloom.sources.tables import KnowledgeBase
 
+#: notes(note_id, norm) to candidates.
+Matcher = Callable[[DataFrame], DataFrame]
 #: (notes(note_id, norm), protected spans) to candidates.
 Layer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def components(kb: KnowledgeBase, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """(target_id, target_type, status, name, concepts): what each target of the knowledge base stands for.
+    """(target_id, target_type, status, name, concepts, metadata): what each target of the knowledge base stands for.
+
+    metadata is a map of text: drug_name and drug_code of a product, brand_name and brand_status of a brand and, of an ambiguous one,
+    its active_ingredient_signatures (JSON) and the policy in force.
 
     Concepts keep their order: actives, then, for products and if asked, excipients; ids without a concept are left out.
     """
@@ -26,20 +33,26 @@ def components(kb: KnowledgeBase, cfg: EngineConfig = EngineConfig()) -> DataFra
         return F.transform(column, lambda x: F.struct(x.alias("concept_id"), F.lit(role).alias("role")))
 
     none = F.array().cast("array<struct<concept_id:string,role:string>>")
-    parts = kb.concepts.select(F.col("concept_id").alias("target_id"), F.lit("ingredient").alias("target_type"), F.lit("resolved").alias("status"), F.col("canonical_it").alias("name"), F.array(F.struct("concept_id", F.lit(None).cast("string").alias("role"))).alias("ids"))
+    about = lambda *pairs: F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))
+    nothing = F.lit(None).cast("map<string,string>").alias("metadata")
+    parts = kb.concepts.select(F.col("concept_id").alias("target_id"), F.lit("ingredient").alias("target_type"), F.lit("resolved").alias("status"), F.col("canonical_it").alias("name"), F.array(F.struct("concept_id", F.lit(None).cast("string").alias("role"))).alias("ids"), nothing)
     p = kb.drug_products
     of_product = F.concat(ids(p, "active_ingredient_ids", "active"), ids(p, "excipient_ids", "excipient") if cfg.include_excipients else none)
-    parts = parts.unionByName(p.select(F.col("product_id").alias("target_id"), F.lit("drug_product").alias("target_type"), F.lit("resolved").alias("status"), F.col("drug_name").alias("name"), of_product.alias("ids")))
+    parts = parts.unionByName(p.select(F.col("product_id").alias("target_id"), F.lit("drug_product").alias("target_type"), F.lit("resolved").alias("status"), F.col("drug_name").alias("name"), of_product.alias("ids"), about(("drug_name", F.col("drug_name")), ("drug_code", F.col("drug_code"))).alias("metadata")))
     unclear = F.col("brand_status") == "ambiguous_brand"
+    of_brand = [("brand_name", F.col("brand_name")), ("brand_status", F.col("brand_status"))]
+    of_unclear = [*of_brand, ("active_ingredient_signatures", F.to_json("active_ingredient_signatures")), ("policy", F.lit(cfg.ambiguous_brand_policy))]
     parts = parts.unionByName(kb.drug_brands.select(
         F.col("brand_id").alias("target_id"), F.lit("drug_brand").alias("target_type"), F.when(unclear, "ambiguous").otherwise("resolved").alias("status"), F.col("brand_name").alias("name"),
-        F.when(unclear, none).otherwise(ids(kb.drug_brands, "active_ingredient_ids", "active")).alias("ids"),
+        F.when(unclear, none).otherwise(ids(kb.drug_brands, "active_ingredient_ids", "active")).alias("ids"), F.when(unclear, about(*of_unclear)).otherwise(about(*of_brand)).alias("metadata"),
     ))
+    metadata = parts.select("target_id", "target_type", "metadata")
     each = parts.select("target_id", "target_type", "status", "name", F.posexplode_outer("ids").alias("pos", "i")).select("target_id", "target_type", "status", "name", "pos", "i.concept_id", "i.role")
     j = each.join(kb.concepts.select("concept_id", "entity_type", "canonical_it", "canonical_en"), "concept_id", "left")
     concept = F.when(F.col("canonical_it").isNotNull(), F.struct("pos", "concept_id", "entity_type", "canonical_it", "canonical_en", "role"))
     g = j.groupBy("target_id", "target_type", "status", "name").agg(F.array_sort(F.array_compact(F.collect_list(concept))).alias("c"))
-    return g.select("target_id", "target_type", "status", "name", F.transform("c", lambda x: x.dropFields("pos")).alias("concepts"))
+    out = g.select("target_id", "target_type", "status", "name", F.transform("c", lambda x: x.dropFields("pos")).alias("concepts"))
+    return out.join(metadata, ["target_id", "target_type"])
 
 
 def display_names(concepts: Column, language: str) -> Column:
@@ -50,9 +63,12 @@ def display_names(concepts: Column, language: str) -> Column:
 def enrich(matches: DataFrame, parts: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """matches with status, reason, concepts and annotation (names joined by '; ', null if there are none).
 
-    An ingredient without a concept is resolved without concepts; a product or brand that isn't there is unresolved.
+    An ingredient without a concept is resolved without concepts; a product or brand that isn't there is unresolved. A target
+    type other than those of schemas.TARGET_TYPES ends the job.
     """
     j = matches.join(parts.withColumn("found", F.lit(True)), ["target_id", "target_type"], "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown target type "), F.coalesce("target_type", F.lit("null")))).cast("string")
+    j = j.withColumn("target_type", F.when(F.col("target_type").isin(*TARGET_TYPES), F.col("target_type")).otherwise(unknown))
     lost = F.col("found").isNull() & (F.col("target_type") != "ingredient")
     reason = F.when(lost, F.when(F.col("target_type") == "drug_brand", "missing_brand").otherwise("missing_product"))
     names = F.array_join(display_names(F.col("concepts"), cfg.output_language), "; ")
@@ -81,22 +97,27 @@ def mapped(notes: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     return n.select("note_id", "text", F.col("n.text").alias("norm"), F.col("n.map").alias("map"))
 
 
-def match_layers(notes: DataFrame, kb: KnowledgeBase, cfg: EngineConfig = EngineConfig(), semantic: Layer | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+def match_layers(
+    notes: DataFrame, kb: KnowledgeBase, cfg: EngineConfig = EngineConfig(), semantic: Layer | Sequence[Layer] | None = None, matcher: Matcher | None = None, fallbacks: Sequence[Layer] | None = None,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The final matches in normalised offsets, and each layer's candidates and matches by name.
 
-    Higher layers stand: exact, then fuzzy on what it left, then semantic on what both left. A layer is resolved
-    within itself before it is held against the ones above.
+    Higher layers stand: exact, then the fallbacks on what it left, then the semantic ones on what all left. A layer's candidates,
+    of all its matchers, are resolved within themselves before they are held against the ones above. matcher and fallbacks
+    replace exact matching and the fuzzy layer that cfg asks for; semantic may be one matcher or several.
     """
-    stages: dict[str, DataFrame] = {"exact_candidates": exact.match(notes, kb.aliases, cfg.include_unsafe_aliases)}
+    matcher = matcher or (lambda n: exact.match(n, kb.aliases, cfg.include_unsafe_aliases))
+    if fallbacks is None:
+        fallbacks = [lambda n, done: fuzzy.layer(n, done, kb.aliases, cfg.fuzzy)] if cfg.fuzzy.enabled else []
+    semantic = [] if semantic is None else [semantic] if callable(semantic) else list(semantic)
+    stages: dict[str, DataFrame] = {"exact_candidates": matcher(notes)}
     done = stages["exact_resolved"] = resolve(stages["exact_candidates"], cfg.resolution)
-    if cfg.fuzzy.enabled:
-        stages["fallback_candidates"] = fuzzy.layer(notes, done, kb.aliases, cfg.fuzzy)
-        stages["fallback_resolved"] = resolve(stages["fallback_candidates"], cfg.resolution)
-        done = merge_layers(done, stages["fallback_resolved"])
-    if semantic is not None:
-        stages["semantic_candidates"] = semantic(notes, done)
-        stages["semantic_resolved"] = resolve(stages["semantic_candidates"], cfg.resolution)
-        done = merge_layers(done, stages["semantic_resolved"])
+    for name, layers in (("fallback", fallbacks), ("semantic", semantic)):
+        if layers:
+            found = [layer(notes, done) for layer in layers]
+            stages[f"{name}_candidates"] = reduce(DataFrame.unionByName, found)
+            stages[f"{name}_resolved"] = resolve(stages[f"{name}_candidates"], cfg.resolution)
+            done = merge_layers(done, stages[f"{name}_resolved"])
     return done, stages
 
 
@@ -108,7 +129,7 @@ def mentions(notes: DataFrame, matches: DataFrame, parts: DataFrame, cfg: Engine
     return out.withColumnsRenamed({"start": "norm_start", "end": "norm_end"}).withColumn("start", F.col("span.start")).withColumn("end", F.col("span.end")).drop("span", "map", "text")
 
 
-MENTION = ["start", "end", "norm_start", "norm_end", "original_surface", "surface", "target_id", "target_type", "alias_raw", "method", "confidence", "status", "reason", "concepts", "annotation"]
+MENTION = ["start", "end", "norm_start", "norm_end", "original_surface", "surface", "target_id", "target_type", "alias_raw", "method", "confidence", "status", "reason", "concepts", "annotation", "metadata"]
 COUNTERS = ["num_exact_candidates", "num_exact_resolved_matches", "num_fallback_candidates", "num_fallback_resolved_matches", "num_semantic_candidates", "num_semantic_resolved_matches", "num_resolved_matches", "num_matches", "num_ambiguous"]
 
 
@@ -124,18 +145,22 @@ def counters(notes: DataFrame, stages: dict[str, DataFrame], found: DataFrame) -
     return out.join(by_note, "note_id", "left").select("note_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS))
 
 
-def standardize(notes: DataFrame, kb: KnowledgeBase, cfg: EngineConfig = EngineConfig(), semantic: Layer | None = None, with_counters: bool = True) -> DataFrame:
+def standardize(
+    notes: DataFrame, kb: KnowledgeBase, cfg: EngineConfig = EngineConfig(), semantic: Layer | Sequence[Layer] | None = None, with_counters: bool = True, matcher: Matcher | None = None, fallbacks: Sequence[Layer] | None = None,
+) -> DataFrame:
     """One row for each note(note_id, text): original, normalised and standardised text, matches, ambiguous, counters.
 
     note_id is the key of a note. A null text gives null texts and no matches.
     """
     m = mapped(notes, cfg)
     plain = m.select("note_id", "norm")
-    final, stages = match_layers(plain, kb, cfg, semantic)
+    final, stages = match_layers(plain, kb, cfg, semantic, matcher, fallbacks)
     found = mentions(m, final, components(kb, cfg), cfg)
     whole = F.struct(*MENTION)
-    # the same struct with its order first, so that sorting goes by place
-    lists = found.groupBy("note_id").agg(F.array_sort(F.collect_list(F.when(F.col("status") != "ambiguous", whole))).alias("matches"), F.array_sort(F.collect_list(F.when(F.col("status") == "ambiguous", whole))).alias("ambiguous"))
+    # maps have no order: places, which no two mentions of a note share, come first and decide
+    by_place = lambda x, y: F.when(x["norm_start"] < y["norm_start"], -1).when(x["norm_start"] > y["norm_start"], 1).otherwise(0)
+    of = lambda which: F.array_sort(F.collect_list(F.when(which, whole)), by_place)
+    lists = found.groupBy("note_id").agg(of(F.col("status") != "ambiguous").alias("matches"), of(F.col("status") == "ambiguous").alias("ambiguous"))
     out = m.join(lists, "note_id", "left")
     none = F.slice("matches", 1, 0)
     out = out.select(

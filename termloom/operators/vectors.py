@@ -50,7 +50,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
 
     Both sides are cut into blocks of about BLOCK rows by a hash; each pair of blocks is one matrix product, of
     which k neighbours a query are kept, and the best of those are ranked. Rows of a block are in order of vector_id, so that
-    both cuts break ties by it. Similarity is clamped to [-1, 1].
+    both cuts break ties by it. Similarity is clamped to [-1, 1]. Every query meets every row: a stated set of queries, not all pairs, is what
+    this is for.
     """
     q_id, v_id = queries.schema["query_id"].dataType.simpleString(), index.schema["vector_id"].dataType.simpleString()
     n_index, n_queries = (max(1, -(-df.count() // BLOCK)) for df in (index, queries))
@@ -71,7 +72,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
                 ids = np.array([r["vector_id"] for r in rows], dtype=object)
                 yield pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in asked_rows], top.shape[1]), "vector_id": ids[top.ravel()], "similarity": np.take_along_axis(sims, top, 1).ravel().astype(float)})
 
-    # one pair of blocks a batch bounds what Python holds
+    # two blocks of vectors at most are multiplied at once; how many pairs a batch brings is bounded by Spark's bytes of an Arrow batch
     best = pairs.select("asked", "rows").mapInPandas(run, f"query_id {q_id}, vector_id {v_id}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)

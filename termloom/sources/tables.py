@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.schemas import TABLES
@@ -27,23 +27,27 @@ class KnowledgeBase:
 
 
 def write_kb(kb: KnowledgeBase, folder: str, fmt: str = "parquet") -> None:
-    """One folder a table. JSON lines leave nulls out."""
+    """One folder a table, sorted by its ids. JSON lines leave nulls out."""
+    keys = {"concepts": ["concept_id"], "aliases": ["alias_normalized", "target_id"], "drug_products": ["product_id"], "drug_brands": ["brand_id"]}
     for name in TABLES:
-        getattr(kb, name).write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
+        table = getattr(kb, name)
+        (table.orderBy(*keys[name]) if name in keys else table).write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
 
 def read_kb(spark: SparkSession, folder: str, fmt: str = "parquet") -> KnowledgeBase:
-    """Tables with their fixed schemas; malformed rows end the job. A repeated id ends it too (see unique())."""
+    """Tables with their fixed schemas; malformed rows end the job. Of rows that repeat an id the last one counts."""
     tables = {name: spark.read.schema(schema).option("mode", "FAILFAST").format(fmt).load(f"{folder}/{name}") if fmt == "json" else spark.read.schema(schema).format(fmt).load(f"{folder}/{name}") for name, schema in TABLES.items()}
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
     for name, key in (("concepts", "concept_id"), ("drug_products", "product_id"), ("drug_brands", "brand_id")):
-        tables[name] = unique(tables[name], key)
+        tables[name] = unique(tables[name], key, place)
     return KnowledgeBase(**tables)
 
 
-def unique(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, the last in the order of all its columns: what a table of lookups keeps."""
-    order = F.struct(*(F.to_json(F.struct(c)) for c in df.columns))
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+def unique(df: DataFrame, key: str, place: Column | None = None) -> DataFrame:
+    """One row for each key: the last, by `place` (where its rows were read) if given, then in the order of reading."""
+    after = F.struct(*([place] if place is not None else []), F.monotonically_increasing_id())
+    numbered = df.select("*", after.alias("read_after"))
+    return numbered.groupBy(key).agg(F.max_by(F.struct(*df.columns), "read_after").alias("row")).select("row.*")
 
 
 def write_report(report: DataFrame, path: str) -> None:
