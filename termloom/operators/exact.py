@@ -28,16 +28,34 @@ def indexed_aliases(aliases: DataFrame, include_unsafe: bool = False) -> DataFra
     ).withColumn("lead", F.when(F.col("head") == "", "").otherwise(F.col("lead"))).withColumn("bare", F.col("head") == "").withColumn("head", F.when(F.col("head") == "", F.substring("alias_normalized", 1, 1)).otherwise(F.col("head")))
 
 
-def heads(notes: DataFrame, bare: bool) -> DataFrame:
-    """notes(note_id, norm) to note_id, norm, head, start: one row a run of word characters and, if asked, one a character between runs.
-    The text stays beside its rows only as long as nothing shuffles them."""
-    runs = F.transform(runs_with_offsets(F.col("norm"), RUNS), lambda r: F.struct(r["run"].alias("head"), r["start"].alias("start")))
-    words = F.filter(runs, lambda r: r["head"].rlike("^[a-z0-9_-]"))
+#: Runs of a piece of text in which aliases are compared, so that a place in a long text is found as fast as one in a short text.
+PIECE = 64
+
+
+def heads(notes: DataFrame, most: int, bare: bool) -> DataFrame:
+    """notes(note_id, norm) to note_id, text, offset, head, start: one row a run of word characters and, if asked, one a character between runs.
+
+    text is the piece of the note that the run lies in, from offset on, with two runs before its own and most + 1 behind them: what an alias of
+    at most `most` runs and the characters around it need. It stays beside its rows only as long as nothing shuffles them.
+    """
+    def pieces(runs: Column) -> Column:
+        def one(b: Column) -> Column:
+            first = F.greatest(b * PIECE - 2, F.lit(0))
+            around = F.slice(runs, first + 1, F.lit(PIECE + 2 + most + 1))
+            return F.struct(F.array_join(F.transform(around, lambda r: r["run"]), "").alias("text"), F.get(runs, first)["start"].alias("offset"), F.slice(runs, b * PIECE + 1, F.lit(PIECE)).alias("own"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / PIECE).cast("int")), one)
+
+    whole = F.element_at(F.transform(F.array(runs_with_offsets(F.col("norm"), RUNS)), pieces), 1)
+    # runs take turns, and pieces have an even number of them: whether the note begins with a word tells which are words
+    each = notes.where("norm <> ''").select("note_id", F.col("norm").rlike("^[a-z0-9_-]").cast("int").alias("word_first"), F.explode(whole).alias("p")).select("note_id", "word_first", "p.*")
+    named = lambda r: F.struct(r["run"].alias("head"), r["start"].alias("start"))
+    words = F.transform(F.filter("own", lambda r, i: (i + F.col("word_first")) % 2 == 1), named)
     if bare:
-        others = F.filter(runs, lambda r: ~r["head"].rlike("^[a-z0-9_-]"))
-        each = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.length(r["head"])), lambda i: F.struct(F.substring(r["head"], i, F.lit(1)).alias("head"), (r["start"] + i - 1).alias("start")))))
-        words = F.concat(words, each)
-    return notes.select("note_id", "norm", words.alias("words")).select("note_id", "norm", F.inline("words"))
+        others = F.filter("own", lambda r, i: (i + F.col("word_first")) % 2 == 0)
+        signs = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.length(r["run"])), lambda i: F.struct(F.substring(r["run"], i, F.lit(1)).alias("head"), (r["start"] + i - 1).alias("start")))))
+        words = F.concat(words, signs)
+    return each.select("note_id", "text", "offset", words.alias("words")).select("note_id", "text", "offset", F.inline("words"))
 
 
 #: Aliases up to which the index is broadcast (some 200 bytes each); beyond, runs are shuffled with what follows them.
@@ -62,18 +80,19 @@ def word_starts(notes: DataFrame, n_runs: int) -> DataFrame:
 def match(notes: DataFrame, aliases: DataFrame, include_unsafe: bool = False) -> DataFrame:
     """notes(note_id, norm) and alias rows to candidates (schemas.CANDIDATES), overlapping ones included.
 
-    Up to BROADCAST aliases come to the runs, whose text is then at hand; of more, runs are dealt out by their first word with
+    Up to BROADCAST aliases come to the runs, whose piece of text is then at hand; of more, runs are dealt out by their first word with
     as many runs behind them as the longest alias has. Null texts have no match.
     """
     index = indexed_aliases(aliases, include_unsafe)
     about = index.agg(F.count(F.lit(1)).alias("n"), F.max("n_runs").alias("most"), F.max("bare").alias("bare")).first()
     name, size = F.col("alias_normalized"), F.length("alias_normalized")
     if about["n"] <= BROADCAST:
-        at = F.col("start") - F.length("lead")
-        before, after = F.substring(F.col("norm"), at, F.lit(1)), F.substring(F.col("norm"), at + size + 1, F.lit(1))
-        found = heads(notes, bool(about["bare"])).join(F.broadcast(index), "head")
-        found = found.where((at >= 0) & (F.substring(F.col("norm"), at + 1, size) == name) & ((at == 0) | ~before.rlike("[a-z0-9_-]")) & ~after.rlike("[a-z0-9_-]"))
-        return _candidates(found, at)
+        start = F.col("start") - F.length("lead")
+        at = start - F.col("offset")
+        before, after = F.substring(F.col("text"), at, F.lit(1)), F.substring(F.col("text"), at + size + 1, F.lit(1))
+        found = heads(notes, about["most"] or 1, bool(about["bare"])).join(F.broadcast(index), "head")
+        found = found.where((at >= 0) & (F.substring(F.col("text"), at + 1, size) == name) & ((start == 0) | ~before.rlike("[a-z0-9_-]")) & ~after.rlike("[a-z0-9_-]"))
+        return _candidates(found, start)
     found = word_starts(notes, about["most"]).join(index.where(~F.col("bare")), "head")
     after = F.substring(F.col("tail"), F.length("core") + 1, F.lit(1))
     closed = F.startswith("tail", F.col("core")) & ((after == "") | ~after.rlike("[a-z0-9_-]"))

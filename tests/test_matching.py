@@ -38,6 +38,21 @@ def test_exact_match_boundaries(spark):
     assert exact.match(note_frame(spark, "rosso"), a, include_unsafe=True).count() == 1
 
 
+@pytest.mark.parametrize("limit,piece", [(500_000, 64), (500_000, 2), (0, 64)])
+def test_every_alias_against_brute_force(spark, monkeypatch, limit, piece):
+    """Aliases of signs alone, leads, long ones; in pieces of any size, broadcast and shuffled."""
+    monkeypatch.setattr(exact, "BROADCAST", limit)
+    monkeypatch.setattr(exact, "PIECE", piece)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("ab-+.' ") for _ in range(n)).strip()
+    texts = [" ".join(make(rng.randint(0, 40)).split()) for _ in range(120)] + ["", "+", "a+", "+a", ". .", "'", " ".join(["ab"] * 300)]
+    names = sorted({x for x in (" ".join(make(rng.randint(1, 9)).split()) for _ in range(120)) if x} | {"+", ".", "+.", "' '", " ".join(["ab"] * 5)})
+    got = rows(exact.match(note_frame(spark, *texts), aliases(spark, *(alias(n, n) for n in names))).select("note_id", "start", "end", "target_id"))
+    edge = lambda c: not re.match("[a-z0-9_-]", c)
+    expected = [(i, k, k + len(n), n) for i, x in enumerate(texts) for n in names for k in range(len(x)) if x.startswith(n, k) and (k == 0 or edge(x[k - 1])) and (k + len(n) == len(x) or edge(x[k + len(n)]))]
+    assert got == sorted(expected, key=repr)
+
+
 def test_exact_match_against_brute_force(spark):
     rng = random.Random(5)
     make = lambda n: "".join(rng.choice("ab-+. ") for _ in range(n)).strip()
