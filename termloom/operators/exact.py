@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.text import runs_with_offsets
+from termloom.functions.text import running_offsets, runs_with_offsets
 
 RUNS = "[a-z0-9_-]+|[^a-z0-9_-]+"
 
@@ -28,34 +28,37 @@ def indexed_aliases(aliases: DataFrame, include_unsafe: bool = False) -> DataFra
     ).withColumn("lead", F.when(F.col("head") == "", "").otherwise(F.col("lead"))).withColumn("bare", F.col("head") == "").withColumn("head", F.when(F.col("head") == "", F.substring("alias_normalized", 1, 1)).otherwise(F.col("head")))
 
 
-#: Runs of a piece of text in which aliases are compared, so that a place in a long text is found as fast as one in a short text.
+#: Words of a piece of text in which aliases are compared, so that a place in a long text is found as fast as one in a short text.
 PIECE = 64
 
 
 def heads(notes: DataFrame, most: int, bare: bool) -> DataFrame:
-    """notes(note_id, norm) to note_id, text, offset, head, start: one row a run of word characters and, if asked, one a character between runs.
+    """notes(note_id, norm) to one row a run of word characters and, if asked, one a character between runs: note_id, head, and where it
+    stands: in the piece `runs` (an array) behind `pos` runs and `shift` characters. offset is the piece's place in the note, text the
+    piece with one before (base characters) and enough behind for an alias of `most` runs and the character after it.
 
-    text is the piece of the note that the run lies in, from offset on, with two runs before its own and most + 1 behind them: what an alias of
-    at most `most` runs and the characters around it need. It stays beside its rows only as long as nothing shuffles them.
+    Nothing but the cut into pieces is done run by run outside of codegen. text and runs stay beside their rows only as long as nothing
+    shuffles them.
     """
-    def pieces(runs: Column) -> Column:
-        def one(b: Column) -> Column:
-            first = F.greatest(b * PIECE - 2, F.lit(0))
-            around = F.slice(runs, first + 1, F.lit(PIECE + 2 + most + 1))
-            return F.struct(F.array_join(F.transform(around, lambda r: r["run"]), "").alias("text"), F.get(runs, first)["start"].alias("offset"), F.slice(runs, b * PIECE + 1, F.lit(PIECE)).alias("own"))
-
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / PIECE).cast("int")), one)
-
-    whole = F.element_at(F.transform(F.array(runs_with_offsets(F.col("norm"), RUNS)), pieces), 1)
-    # runs take turns, and pieces have an even number of them: whether the note begins with a word tells which are words
-    each = notes.where("norm <> ''").select("note_id", F.col("norm").rlike("^[a-z0-9_-]").cast("int").alias("word_first"), F.explode(whole).alias("p")).select("note_id", "word_first", "p.*")
-    named = lambda r: F.struct(r["run"].alias("head"), r["start"].alias("start"))
-    words = F.transform(F.filter("own", lambda r, i: (i + F.col("word_first")) % 2 == 1), named)
-    if bare:
-        others = F.filter("own", lambda r, i: (i + F.col("word_first")) % 2 == 0)
-        signs = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.length(r["run"])), lambda i: F.struct(F.substring(r["run"], i, F.lit(1)).alias("head"), (r["start"] + i - 1).alias("start")))))
-        words = F.concat(words, signs)
-    return each.select("note_id", "text", "offset", words.alias("words")).select("note_id", "text", "offset", F.inline("words"))
+    ahead = -(-(most + 2) // (2 * PIECE)) + 1
+    cut = F.regexp_extract_all(F.col("norm"), F.lit("(?:[a-z0-9_-]+[^a-z0-9_-]*){1,%d}|^[^a-z0-9_-]+" % PIECE), F.lit(0))
+
+    def of(ps: Column, offsets: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(ps, i - 1)).otherwise("")
+            return F.struct(F.concat(before, F.array_join(F.slice(ps, i + 1, F.lit(1 + ahead)), "")).alias("text"), F.length(before).alias("base"), F.get(offsets, i).alias("offset"), p.alias("piece"))
+
+        return F.transform(ps, one)
+
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    pieces = bind(cut, lambda ps: of(ps, running_offsets(F.transform(ps, lambda p: F.length(p)))))
+    each = notes.where("norm <> ''").select("note_id", F.explode(pieces).alias("p")).select("note_id", "p.text", "p.base", "p.offset", F.regexp_extract_all("p.piece", F.lit(RUNS), F.lit(0)).alias("runs"))
+    found = each.select("note_id", "text", "base", "offset", "runs", F.posexplode("runs").alias("pos", "head"))
+    words = found.where(F.col("head").rlike("^[a-z0-9_-]")).withColumn("shift", F.lit(0))
+    if not bare:
+        return words
+    signs = found.where(~F.col("head").rlike("^[a-z0-9_-]")).withColumn("shift", F.explode(F.sequence(F.lit(0), F.length("head") - 1)))
+    return words.unionByName(signs.withColumn("head", F.substring(F.col("head"), F.col("shift") + 1, F.lit(1))))
 
 
 #: Aliases up to which the index is broadcast (some 200 bytes each); beyond, runs are shuffled with what follows them.
@@ -87,10 +90,10 @@ def match(notes: DataFrame, aliases: DataFrame, include_unsafe: bool = False) ->
     about = index.agg(F.count(F.lit(1)).alias("n"), F.max("n_runs").alias("most"), F.max("bare").alias("bare")).first()
     name, size = F.col("alias_normalized"), F.length("alias_normalized")
     if about["n"] <= BROADCAST:
-        start = F.col("start") - F.length("lead")
-        at = start - F.col("offset")
+        within = F.length(F.array_join(F.slice("runs", F.lit(1), F.col("pos")), "")) + F.col("shift") - F.length("lead")
+        start, at = F.col("offset") + F.col("within"), F.col("base") + F.col("within")
         before, after = F.substring(F.col("text"), at, F.lit(1)), F.substring(F.col("text"), at + size + 1, F.lit(1))
-        found = heads(notes, about["most"] or 1, bool(about["bare"])).join(F.broadcast(index), "head")
+        found = heads(notes, about["most"] or 1, bool(about["bare"])).join(F.broadcast(index), "head").withColumn("within", within)
         found = found.where((at >= 0) & (F.substring(F.col("text"), at + 1, size) == name) & ((start == 0) | ~before.rlike("[a-z0-9_-]")) & ~after.rlike("[a-z0-9_-]"))
         return _candidates(found, start)
     found = word_starts(notes, about["most"]).join(index.where(~F.col("bare")), "head")
