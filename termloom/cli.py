@@ -1,15 +1,17 @@
-"""Batch jobs for spark-submit: build-kb, standardize, inspect."""
+"""Batch jobs for spark-submit: build-kb, build-index, standardize, inspect."""
 
 from __future__ import annotations
 
 import argparse
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from termloom.config import EngineConfig, load_config
-from termloom.operators import inspection, kb, notes
+from termloom import engine
+from termloom.config import EngineConfig, PathsConfig, load_config
+from termloom.operators import inspection, kb
 from termloom.sources import raw, tables
 
 
@@ -24,7 +26,12 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("standardize")
     s.add_argument("kb")
     s.add_argument("notes", help="Parquet with note_id and text, or a text file of one note a line")
-    s.add_argument("out", nargs="?", help="folder to write to; without it results are shown as JSON")
+    s.add_argument("out", nargs="?", help="folder to write to; without it the first results are shown as JSON")
+    s.add_argument("--index", default="", help="folder of the semantic index, for semantic.enabled")
+    s.add_argument("--show", type=int, default=20, help="results shown where no folder is given")
+    x = sub.add_parser("build-index", help="encode the knowledge base's aliases for the semantic layer")
+    x.add_argument("kb")
+    x.add_argument("index")
     i = sub.add_parser("inspect")
     i.add_argument("kb")
     i.add_argument("--search")
@@ -36,13 +43,15 @@ def main(argv: list[str] | None = None) -> int:
         built = kb.build(raw.read_synonyms(spark, a.synonyms), raw.read_drugs(spark, a.drugs), cfg)
         tables.write_kb(built, a.out)
         spark.read.parquet(f"{a.out}/report").show(truncate=False)
+    elif a.job == "build-index":
+        engine.build_index(spark, replace(cfg, paths=PathsConfig(a.kb, a.index)))
     elif a.job == "standardize":
         rows = spark.read.text(a.notes).select(F.monotonically_increasing_id().alias("note_id"), F.col("value").alias("text")) if a.notes.endswith(".txt") else spark.read.parquet(a.notes)
-        out = notes.standardize(rows.select("note_id", "text"), tables.read_kb(spark, a.kb), cfg)
+        out = engine.build(spark, replace(cfg, paths=PathsConfig(a.kb, a.index))).standardize(rows.select("note_id", "text"))
         if a.out:
             out.write.mode("overwrite").parquet(a.out)
         else:
-            for line in out.toJSON().toLocalIterator():
+            for line in out.limit(a.show).toJSON().collect():
                 print(line)
     else:
         found = tables.read_kb(spark, a.kb)

@@ -75,6 +75,17 @@ class SemanticConfig:
     labels: tuple[str, ...] = ("DRUG",)
     min_candidate_chars: int = 3
     priority: int = 55
+    #: "module:function" of the plug-ins that engine.build() loads: an encoder of texts and a recogniser of entities.
+    encoder: str = ""
+    recogniser: str = ""
+
+
+@dataclass(frozen=True)
+class PathsConfig:
+    """Folders that tables.write_kb() and tables.write_vectors() wrote."""
+
+    knowledge_base: str = ""
+    index: str = ""
 
 
 @dataclass(frozen=True)
@@ -89,6 +100,7 @@ class EngineConfig:
     resolution: ResolutionConfig = field(default_factory=ResolutionConfig)
     fuzzy: FuzzyConfig = field(default_factory=FuzzyConfig)
     semantic: SemanticConfig = field(default_factory=SemanticConfig)
+    paths: PathsConfig = field(default_factory=PathsConfig)
 
     def __post_init__(self) -> None:
         if self.note_output_policy not in NOTE_POLICIES:

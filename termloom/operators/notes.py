@@ -162,7 +162,7 @@ def standardize(
     of = lambda which: F.array_sort(F.collect_list(F.when(which, whole)), by_place)
     lists = found.groupBy("note_id").agg(of(F.col("status") != "ambiguous").alias("matches"), of(F.col("status") == "ambiguous").alias("ambiguous"))
     out = m.join(lists, "note_id", "left")
-    none = F.slice("matches", 1, 0)
+    none = F.array().cast(lists.schema["matches"].dataType)
     out = out.select(
         "note_id", F.col("text").alias("original_text"), F.when(F.col("text").isNotNull(), F.col("norm")).alias("normalized_text"), render(F.col("text"), F.col("matches"), cfg.note_output_policy).alias("standardized_text"),
         F.lit(cfg.output_language).alias("output_language"), F.lit(cfg.note_output_policy).alias("note_output_policy"), F.coalesce("matches", none).alias("matches"), F.coalesce("ambiguous", none).alias("ambiguous"),
