@@ -13,9 +13,11 @@ from termloom.sources.staging import staged
 
 # Function words and filler of clinical notes.
 STOPWORDS = (
-    "a ad al allo alla ai agli alle con da dal dalla del dello della dei degli delle di e ed il lo la i gli le in nel nella nei negli nelle o od per su sul sulla tra fra un uno una "
-    "paziente pz allergia allergico allergica intolleranza intollerante reazione rash dopo assunzione terapia farmaco farmaci compresse compressa capsule capsula mg ml g"
-).split()
+    "a", "ad", "al", "allo", "alla", "ai", "agli", "alle", "con", "da", "dal", "dalla", "del", "dello", "della", "dei", "degli", "delle", "di", "e",
+    "ed", "il", "lo", "la", "i", "gli", "le", "in", "nel", "nella", "nei", "negli", "nelle", "o", "od", "per", "su", "sul", "sulla", "tra", "fra",
+    "un", "uno", "una", "paziente", "pz", "allergia", "allergico", "allergica", "intolleranza", "intollerante", "reazione", "rash", "dopo",
+    "assunzione", "terapia", "farmaco", "farmaci", "compresse", "compressa", "capsule", "capsula", "mg", "ml", "g",
+)
 TOKEN = "[a-z0-9]+(?:[+\\-'][a-z0-9]+)*"
 TILES = "[a-z0-9]+(?:[+\\-'][a-z0-9]+)*|[^a-z0-9]+"
 ALIAS = ["target_id", "target_type", "alias_raw", "alias_normalized", "alias_category", "priority", "requires_context"]
