@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.config import EngineConfig
+from termloom.functions import policy
 from termloom.functions.text import fold
 from termloom.operators import kb
 from termloom.schemas import TABLES
@@ -110,16 +111,19 @@ def sql_id(t: str) -> str:
     return f"trim(regexp_replace(regexp_replace(replace({sql_norm(t)}, ' ', '_'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')"
 
 
+def matches_sql(text: str, pattern: str) -> str:
+    """Whether a pattern of policy.py is found in text; DuckDB's patterns know no flag u."""
+    return f"regexp_matches({text}, '{pattern.replace('(?iu)', '(?i)')}')"
+
+
 def sql_policy(raw: str, norm: str) -> str:
     """The index of the rule that decides, 0 to 5."""
-    code = "(?i)\\b(fd\\s*&?\\s*c|d\\s*&?\\s*c|e\\s*\\d{3,4})\\b"
-    marks = f"len(regexp_extract_all({raw}, '[-(),\\[\\];]'))"
-    stereo = f"regexp_matches({raw}, '(?i)(\\(\\s*[±+\\-]\\s*\\))|(\\([0-9rs*,\\s]+\\))|(\\b[rs]-)|(\\b[dl]-)')"
-    complex_ = f"regexp_matches({raw}, '(?i)(\\d+[a-z]?[-,])|(\\([^)]+\\))|(\\[[^\\]]+\\])|([αβγδ])|(\\b\\d+h\\b)')"
-    formula = f"regexp_matches({raw}, '(?i)\\b[a-z]{{1,3}}\\d+[a-z0-9()]*\\b')"
+    code, stereo, complex_, formula = (matches_sql(raw, p) for p in (policy.CLINICAL_CODE, policy.STEREO, policy.COMPLEX, policy.FORMULA))
+    marks = f"len(regexp_extract_all({raw}, '{policy.PUNCTUATION}'))"
+    acronym = matches_sql(f"regexp_replace({raw}, '[^A-Za-z]', '', 'g')", policy.ACRONYM)
     return (
-        f"CASE WHEN {norm} = '' THEN 0 WHEN regexp_matches(regexp_replace({raw}, '[^A-Za-z]', '', 'g'), '^[A-Z]{{2,6}}$') THEN 1 "
-        f"WHEN regexp_matches({raw}, '{code}') OR regexp_matches({norm}, '{code}') THEN 2 WHEN length(replace({norm}, ' ', '')) < 5 THEN 3 "
+        f"CASE WHEN {norm} = '' THEN 0 WHEN {acronym} THEN 1 "
+        f"WHEN {code} OR {matches_sql(norm, policy.CLINICAL_CODE)} THEN 2 WHEN length(replace({norm}, ' ', '')) < 5 THEN 3 "
         f"WHEN length({norm}) >= 18 AND (({stereo} AND {marks} >= 1) OR ({marks} >= 3 AND ({complex_} OR {formula})) OR (length({norm}) >= 60 AND {marks} >= 2)) THEN 4 ELSE 5 END"
     )
 
