@@ -1,11 +1,12 @@
 """Assembly from a configuration, pluggable matchers, metadata, SQL functions, the last of repeated ids."""
 
+import json
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from termloom import engine
+from termloom import cli, engine
 from termloom.config import EngineConfig, PathsConfig, SemanticConfig, from_mapping
 from termloom.functions import similarity
 from termloom.operators import kb, notes
@@ -80,3 +81,13 @@ def test_last_of_repeated_ids_wins(spark, folder, tmp_path):
     twice = [tuple({**c.asDict(), "canonical_it": x}.values()) for x in ("zz first", "mm", "aa last")]
     spark.createDataFrame(twice, base.concepts.schema).coalesce(1).write.mode("overwrite").json(str(tmp_path / "kb" / "concepts"))
     assert [r.canonical_it for r in tables.read_kb(spark, str(tmp_path / "kb"), "json").concepts.collect()] == ["aa last"]
+
+
+def test_session(spark, folder):
+    """Answers by line, as text with mentions and as JSON, to the line that ends it."""
+    made = engine.build(spark, EngineConfig(paths=PathsConfig(f"{folder}/kb")))
+    said = list(cli.answers(made, spark, ["  reazione a voltinolo\n", " \n", "niente\n", ":Quit\n", "voltinolo\n"], mentions=True))
+    assert [x.split("\n")[0] for x in said] == ["reazione a voltinolo [Ibuvoltin]", "niente"]
+    assert "1 matches, 0 ambiguous" in said[0] and said[0].split("\n")[2].startswith("  [11, 20) voltinolo: Ibuvoltin (active:ibuvoltina, ") and len(said[1].split("\n")) == 2
+    whole = json.loads(next(cli.answers(made, spark, ["voltinolo"], as_json=True)).rpartition("\n")[0])
+    assert whole["matches"][0]["target_id"] == "active:ibuvoltina" and whole["num_matches"] == 1
