@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.sources.staging import passing, shared_dir, staged, unstage
+from termloom.sources.staging import passing, release, shared_dir, staged, unstage
 
-__all__ = ["SPACES", "WORD_GAP", "held_out", "labelled_sample", "let", "passing", "repeated", "running", "shared_dir", "slices", "staged", "table", "unstage"]
+__all__ = ["SPACES", "WORD_GAP", "held_out", "labelled_sample", "let", "passing", "release", "repeated", "running", "shared_dir", "slices", "staged", "table", "unstage"]
 
 #: What separates words in every contract of this subpackage: space and the ASCII controls 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.bytesvec import Words, mix
-from termloom.llm.common import held_out, labelled_sample, slices
+from termloom.llm.common import held_out, labelled_sample, release, slices
 
 BUCKETS = 1 << 17
 CHAR_SIZES = (3, 4)
@@ -123,6 +123,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 def apply_model(docs: DataFrame, model, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted by any model with score(column of texts). The model's size is fixed."""
+    release(docs.sparkSession)  # what fitting took
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -138,6 +139,7 @@ def apply_model(docs: DataFrame, model, threshold: float) -> DataFrame:
 
 def keep_below(docs: DataFrame, model, threshold: float) -> DataFrame:
     """The rows of docs, whole, whose text scores below threshold."""
+    release(docs.sparkSession)  # what fitting took
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -1,7 +1,11 @@
 """Assembly from a configuration, pluggable matchers, metadata, SQL functions, the last of repeated ids."""
 
+import ctypes
 import json
+import os
+import resource
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from termloom.config import EngineConfig, PathsConfig, SemanticConfig, from_mapp
 from termloom.functions import similarity
 from termloom.operators import kb, notes
 from termloom.schemas import CANDIDATES
-from termloom.sources import raw, tables
+from termloom.sources import raw, staging, tables
 
 
 def letters(texts):
@@ -91,3 +95,26 @@ def test_session(spark, folder):
     assert "1 matches, 0 ambiguous" in said[0] and said[0].split("\n")[2].startswith("  [11, 20) voltinolo: Ibuvoltin (active:ibuvoltina, ") and len(said[1].split("\n")) == 2
     whole = json.loads(next(cli.answers(made, spark, ["voltinolo"], as_json=True)).rpartition("\n")[0])
     assert whole["matches"][0]["target_id"] == "active:ibuvoltina" and whole["num_matches"] == 1
+
+
+def test_unstaging_gives_freed_memory_back(spark):
+    """Blocks freed below one that stays in use, too small to be mapped by themselves: of this process, and of the JVM (a deflater's)."""
+    held = lambda pid: int(Path(f"/proc/{pid}/statm").read_text().split()[1]) * resource.getpagesize() >> 20
+    jvm = spark.sparkContext._gateway.proc.pid
+    table = staging.staged(spark.range(3), "freed")
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    blocks = [libc.malloc(60_000) for _ in range(3000)]
+    for block in blocks:
+        ctypes.memset(block, 1, 60_000)
+    deflaters = [spark._jvm.java.util.zip.Deflater() for _ in range(2500)]
+    for block in blocks[:-1]:
+        libc.free(block)
+    for deflater in deflaters[:-1]:
+        deflater.end()
+    before = held(os.getpid()), held(jvm)
+    staging.unstage(table)
+    after = held(os.getpid()), held(jvm)
+    libc.free(blocks[-1])
+    deflaters[-1].end()
+    assert after[0] < before[0] - 120 and after[1] < before[1] - 200, (before, after)
