@@ -6,7 +6,7 @@ from conftest import rows
 
 from termloom.config import FuzzyConfig
 from termloom.functions.text import places, plain_text
-from termloom.operators import exact, fuzzy, kb, notes, overlap
+from termloom.operators import exact, fuzzy, kb, notes, overlap, vectors
 from termloom.plans import fixture
 from termloom.sources import raw
 
@@ -64,3 +64,10 @@ def test_places_without_a_python_step_for_each_character():
 def test_words_are_counted_before_they_are_dealt_out(spark):
     docs = spark.createDataFrame([(1, "alpha Alpha beta5 gammas"), (2, "alphà"), (3, None)], "doc_id bigint, text string").coalesce(1)
     assert rows(fixture.document_counts(docs)) == [("alpha", 2), ("gammas", 1)]
+
+
+def test_blocks_of_queries_do_not_pass_through_the_driver(spark):
+    index = spark.range(50).selectExpr("id AS vector_id", "array(cast(id AS float), 1f) AS vector")
+    near = vectors.nearest(index.where("vector_id % 20 = 0").withColumnRenamed("vector_id", "query_id"), index, 2)
+    assert near.count() == 6
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
